@@ -97,11 +97,15 @@ def family_matrix(scored: DataFrame, families: list[str], metric: str = "fnr") -
 def cumulative_scores(counts: DataFrame) -> DataFrame:
     """Score counts with running totals from the highest score down, per model.
 
-    Adds cum_pos, cum_neg (this score included), total_pos, total_neg. Scores are ordered in buckets whose
+    Adds cum_pos, cum_neg (this score included), total_pos, total_neg, and ``next``, the counts of the
+    next lower score (null at the lowest). Scores are ordered in buckets whose
     totals are running-summed separately, so a model with many distinct scores is not ordered in one task.
     """
     keyed = counts.withColumn("_bucket", score_bucket(F.col("p")))
-    totals = keyed.groupBy("model", "_bucket").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    totals = keyed.groupBy("model", "_bucket").agg(
+        F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), F.max_by(F.struct("pos", "neg"), "p").alias("_top")
+    )
+    below = W.partitionBy("model").orderBy(F.desc("_bucket"))
     above = W.partitionBy("model").orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("model")
     offsets = totals.select(
@@ -110,14 +114,19 @@ def cumulative_scores(counts: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_bn").over(above), F.lit(0)).alias("_on"),
         F.sum("_bp").over(whole).alias("total_pos"),
         F.sum("_bn").over(whole).alias("total_neg"),
+        F.lead("_top").over(below).alias("_next_bucket"),
     )
     inside = W.partitionBy("model", "_bucket").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = keyed.withColumns({"_ip": F.sum("pos").over(inside), "_in": F.sum("neg").over(inside)})
+    next_inside = F.lead(F.struct("pos", "neg")).over(W.partitionBy("model", "_bucket").orderBy(F.desc("p")))
+    running = keyed.withColumns(
+        {"_ip": F.sum("pos").over(inside), "_in": F.sum("neg").over(inside), "_next": next_inside}
+    )
     return running.join(offsets, ["model", "_bucket"]).select(
         "model", "p", "pos", "neg",
         (F.col("_op") + F.col("_ip")).alias("cum_pos"),
         (F.col("_on") + F.col("_in")).alias("cum_neg"),
         "total_pos", "total_neg",
+        F.coalesce("_next", "_next_bucket").alias("next"),
     )
 
 
@@ -150,6 +159,14 @@ def roc_points(cumulative: DataFrame) -> DataFrame:
     return points.unionByName(origin)
 
 
+def roc_corners(cumulative: DataFrame) -> DataFrame:
+    """ROC points where the curve changes direction, both ends kept; drawing them gives the same curve."""
+    nxt = F.col("next")
+    first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    turn = first | nxt.isNull() | (nxt["pos"] != F.col("pos")) | (nxt["neg"] != F.col("neg"))
+    return roc_points(cumulative.where(turn))
+
+
 def pr_points(cumulative: DataFrame) -> DataFrame:
     """Precision and recall per threshold, with the closing point (1, 0)."""
     points = cumulative.select(

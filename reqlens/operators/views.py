@@ -285,7 +285,8 @@ def top_vectors(df: DataFrame, n: int = 5) -> DataFrame:
 
 def report_rows(df: DataFrame, limit: int = 50) -> DataFrame:
     """Newest alerts as the report shows them: time, ip, type, rule, ai_score."""
-    score = F.concat(F.format_string("%.1f", F.col("ai_score") * 100), F.lit("%"))
+    percent = F.round(F.col("ai_score") * 100, 1).cast("decimal(5,1)").cast("string")
+    score = F.concat(percent, F.lit("%"))
     shown = vector_votes(newest(df, limit, "ts", "alert_key"))
     return shown.select(
         F.date_format("ts", "HH:mm:ss").alias("time"),
