@@ -347,9 +347,9 @@ SELECT seq, substr(sha256(method || '|' || uri || '|' || body || '|' || client_i
 FROM alerts"""
 
 
-def _audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit log lines written from the alert view, some of them cut off."""
-    a = t.alerts(spark, sf_dir)
+def audit_lines(events: DataFrame) -> DataFrame:
+    """Audit log lines written from alert rows (also of a stream); every 97th is cut off."""
+    a = t.alerts_of(events)
     seq = F.col("seq")
     stamp = F.when(seq % 2 == 0, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise(F.col("timestamp_raw"))
     header = F.when(seq % 2 == 0, F.lit('"text/html"')).when(seq % 3 == 0, F.lit('["a/b", "c"]')).otherwise(F.lit("7"))
@@ -377,7 +377,7 @@ def _audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines parsed to alert fields; cut-off lines are marked."""
-    p = parse.parse_audit(_audit_lines(spark, sf_dir), ingested_at=F.timestamp_seconds(F.lit(0)))
+    p = parse.parse_audit(audit_lines(t.table(spark, sf_dir, "events")), ingested_at=F.timestamp_seconds(F.lit(0)))
     good = F.col("_bad").isNull()
 
     def shown(c, name: str):

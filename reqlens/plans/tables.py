@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.session import prepare
+from reqlens.operators.rules import scan_rules
+from reqlens.session import prepare, spread
+from reqlens.sources.logs import follow_table
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -33,6 +35,11 @@ def _cycle_sql(key: str, values: list[str | None]) -> str:
     return f"CASE {key} % {len(values)} {arms} END"
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; the pattern matches the one file."""
+    return follow_table(prepare(spark), f"{sf_dir}/events.parque[t]", EVENTS_SCHEMA)
+
+
 # ---- requests ----------------------------------------------------------------
 
 TYPES = [
@@ -165,8 +172,11 @@ def pairs_sql(query: str) -> str:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alert rows derived from events."""
-    e = table(spark, sf_dir, "events")
+    return alerts_of(table(spark, sf_dir, "events"))
+
+
+def alerts_of(e: DataFrame) -> DataFrame:
+    """Alert rows derived from events; also applies to a stream of events."""
     eid, uid, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
 
     def rule(base: int, m: int) -> Column:
@@ -292,3 +302,18 @@ SCORED_SQL = f"""scored AS (
   SELECT m.model, d.doc_id AS id, d.lang AS family, l.toxic AS y,
     ((d.n_chars * m.k + d.doc_id * 104729) % 1000) / 1000.0 AS p
   FROM documents d JOIN labels l USING (doc_id) CROSS JOIN (VALUES {_MODELS_SQL}) m(model, k))"""
+
+
+# ---- labelled requests with rule evidence ----------------------------------------------
+
+
+def enriched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the evidence of the custom rule scan, named as the feature step expects."""
+    hits = scan_rules(spread(requests(spark, sf_dir)))
+    return hits.select(
+        "request_id", "method", "uri", "headers", "body", "label", "attack_family",
+        F.col("rule_hits").alias("fired_rule_ids"),
+        F.transform("rule_hits", lambda _: F.lit("CRITICAL")).alias("rule_severities"),
+        F.transform("rule_hits", lambda r: F.concat(F.lit("custom "), r)).alias("rule_messages"),
+        F.col("rule_score").alias("anomaly_score"),
+    )
