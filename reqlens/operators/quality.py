@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.functions.hashing import seeded_digest
-from reqlens.operators.ranking import digest_bucket, distributed_rank
+from reqlens.operators.ranking import at_or_before, digest_cuts, fetch_small, local_small
 from reqlens.schemas import ENRICHED_REQUEST, REQUIRED_FIELDS, columns_of
 
 MISSING_LIMIT = 0.05
@@ -119,30 +119,48 @@ def small_families(df: DataFrame) -> DataFrame:
     return family_counts(df).where(F.col("rows") < SMALL_FAMILY)
 
 
+def _held_out(n: Column) -> tuple[Column, Column]:
+    """Rows outside training, and test rows among them, of a stratum of ``n`` rows."""
+    held = F.when(n < SMALL_FAMILY, n - 1).otherwise(F.greatest(F.floor((n * 3 + 9) / 10), F.lit(2)))
+    return held, F.when(held < 2, 0).otherwise(F.floor((held + 1) / 2))
+
+
 def stratified_split(df: DataFrame, seed: int = SEED, key: str = "request_id") -> DataFrame:
     """Add ``split``: 70/15/15 within each attack family, by rank of a seeded digest of the id.
 
-    Families below three rows share one stratum. The rank is exact and is computed per digest bucket, so a
-    family with a third of all rows does not land in one task; a rerun gives the same split.
+    Families below three rows share one stratum. Only ids and families are counted and ordered, and of those
+    only the digest buckets that hold a cut; the rows themselves are compared with the cuts where they lie, so
+    neither a large family nor a wide row is shuffled. The ranks are exact and a rerun gives the same split.
     """
-    sizes = family_counts(df).withColumnRenamed("rows", "_size")
-    match = F.col("attack_family").eqNullSafe(F.col("_family"))
-    sized = df.join(sizes.withColumnRenamed("attack_family", "_family"), match).drop("_family")
-    small = F.col("_size") < SMALL_FAMILY
-    keyed = sized.withColumns(
-        {
-            "_stratum": F.when(small, F.lit("s|")).otherwise(F.concat(F.lit("f|"), F.coalesce("attack_family", F.lit("")))),
-            "_digest": seeded_digest(F.col(key), seed),
-        }
-    ).withColumn("_bucket", digest_bucket(F.col("_digest")))
-    ranked = distributed_rank(keyed, ["_stratum"], "_bucket", [F.col("_digest"), F.col(key)], "_rank")
-    n, rank = F.col("_rank_of"), F.col("_rank")
-    held_out = F.greatest(F.floor((n * 3 + 9) / 10), F.lit(2))
-    held_out = F.when(n < SMALL_FAMILY, n - 1).otherwise(held_out)
-    test = F.when(held_out < 2, 0).otherwise(F.floor((held_out + 1) / 2))
-    split = F.when(rank <= n - held_out, "train").when(rank <= n - test, "validation").otherwise("test")
-    return ranked.withColumn("split", split).drop(
-        "_size", "_stratum", "_digest", "_bucket", "_rank", "_rank_of"
+    family = F.coalesce("attack_family", F.lit(""))
+    sizes = df.groupBy(family.alias("_family")).agg(F.count(F.lit(1)).alias("_n"))
+    large = local_small(sizes.where(F.col("_n") >= SMALL_FAMILY).select("_family", F.concat(F.lit("f|"), "_family").alias("grp")))
+    stratum = F.coalesce("grp", F.lit("s|"))
+
+    def strata(rows: DataFrame) -> DataFrame:
+        joined = rows.join(large, family == F.col("_family"), "left").drop("_family")
+        return joined.withColumns({"grp": stratum, "_digest": seeded_digest(F.col(key), seed)})
+
+    narrow = strata(df.select(key, "attack_family")).select("grp", F.col("_digest").alias("digest"), F.col(key).alias("key"))
+    held, test = _held_out(F.col("n"))
+    n = narrow.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    ranks = F.array(
+        F.struct(F.lit("train").alias("cut"), (F.col("n") - held).alias("rank")),
+        F.struct(F.lit("validation").alias("cut"), (F.col("n") - test).alias("rank")),
+    )
+    wanted = n.select("grp", F.explode(ranks).alias("r")).select("grp", "r.cut", "r.rank")
+    at = F.struct("digest", "key")
+    cuts = digest_cuts(narrow, wanted).groupBy("grp").agg(
+        *[F.max(F.when(F.col("cut") == c, at)).alias(f"_{c}") for c in ("train", "validation")]
+    )
+
+    def within(cut: str) -> Column:
+        c = F.col(f"_{cut}")
+        return F.coalesce(at_or_before(F.col("_digest"), F.col(key), c["digest"], c["key"]), F.lit(False))
+
+    split = F.when(within("train"), "train").when(within("validation"), "validation").otherwise("test")
+    return strata(df).join(local_small(cuts), "grp").withColumn("split", split).drop(
+        "grp", "_digest", "_train", "_validation"
     )
 
 
@@ -154,14 +172,18 @@ def split_distribution(df: DataFrame) -> DataFrame:
 def sample_per_family(df: DataFrame, family: str | None, n: int, seed: int = SEED) -> DataFrame:
     """``n`` rows of an attack family (all families when None) in seeded random order.
 
-    The rank comes from digest buckets rather than a global sort, so ``n`` may be large.
+    The digest of the n-th row is found first and the rows are filtered by it, so ``n`` may be large and no
+    row is moved.
     """
     chosen = df if family is None else df.where(F.col("attack_family") == family)
-    keyed = chosen.withColumn("_digest", seeded_digest(F.col("request_id"), seed)).withColumns(
-        {"_bucket": digest_bucket(F.col("_digest")), "_all": F.lit(1)}
-    )
-    ranked = distributed_rank(keyed, ["_all"], "_bucket", [F.col("_digest"), F.col("request_id")], "_rank")
-    return ranked.where(F.col("_rank") <= n).drop("_digest", "_bucket", "_all", "_rank", "_rank_of")
+    digest, key = seeded_digest(F.col("request_id"), seed), F.col("request_id")
+    narrow = chosen.select(F.lit(1).alias("grp"), digest.alias("digest"), key.alias("key"))
+    total = narrow.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    wanted = total.select("grp", F.lit("last").alias("cut"), F.least(F.col("n"), F.lit(n)).alias("rank"))
+    last = fetch_small(digest_cuts(narrow, wanted))
+    if not last:
+        return chosen.limit(0)
+    return chosen.where(at_or_before(digest, key, F.lit(last[0].digest), F.lit(last[0].key)))
 
 
 def content_hash(df: DataFrame) -> Column:

@@ -8,7 +8,7 @@ as many tasks as it has buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -49,3 +49,50 @@ def score_bucket(p: Column) -> Column:
     """Ordered bucket of a probability, finer towards 0 and 1 where classifier scores pile up."""
     odds = (p + 1e-12) / (1 - p + 1e-12)
     return F.floor(F.log(odds) * 64).cast("int")
+
+
+# ---- cuts ---------------------------------------------------------------------
+
+SMALL_ROWS = 50_000
+
+
+def fetch_small(df: DataFrame, limit: int = SMALL_ROWS) -> list[Row] | None:
+    """Rows of a table that is expected to be small, or None when it holds more than ``limit``."""
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def local_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """The table as a broadcastable local copy when its size allows, else unchanged."""
+    rows = fetch_small(df, limit)
+    if rows is None:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def digest_cuts(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Digest and key of the rows at given ranks of each group.
+
+    ``narrow`` holds grp, digest and key; ``wanted`` holds grp, cut and rank (1-based by digest, key) and is
+    small. Ranks are located by bucket counts, and only the rows of the buckets hit are ordered, so finding a
+    cut never sorts a group and never moves a payload. Returns grp, cut, digest, key.
+    """
+    keyed = narrow.withColumn("bucket", digest_bucket(F.col("digest")))
+    counts = keyed.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(
+        F.sum("n").over(W.partitionBy("grp").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
+    placed = counts.withColumn("before", before)
+    hit = (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n"))
+    targets = placed.join(local_small(wanted), "grp").where(hit).select(
+        "grp", "bucket", "cut", (F.col("rank") - F.col("before")).alias("inner")
+    )
+    targets = local_small(targets)
+    buckets = targets.select("grp", "bucket").distinct()
+    inside = W.partitionBy("grp", "bucket").orderBy("digest", "key")
+    ordered = keyed.join(local_small(buckets), ["grp", "bucket"], "left_semi").withColumn("_i", F.row_number().over(inside))
+    return ordered.join(targets, ["grp", "bucket"]).where(F.col("_i") == F.col("inner")).select("grp", "cut", "digest", "key")
+
+
+def at_or_before(digest: Column, key: Column, cut_digest: Column, cut_key: Column) -> Column:
+    return (digest < cut_digest) | ((digest == cut_digest) & (key <= cut_key))

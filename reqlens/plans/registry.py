@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reqlens.plans import access_queries, alert_queries, dataset_queries, evaluation_queries, request_queries, training_queries
+from reqlens.plans import (
+    access_queries,
+    alert_queries,
+    dataset_queries,
+    evaluation_queries,
+    request_queries,
+    sink_queries,
+    stream_queries,
+    training_queries,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [request_queries, alert_queries, access_queries, dataset_queries, evaluation_queries, training_queries]
+MODULES = [
+    request_queries,
+    alert_queries,
+    access_queries,
+    dataset_queries,
+    evaluation_queries,
+    training_queries,
+    stream_queries,
+    sink_queries,
+]
 
 
 def queries() -> dict[str, Query]:
