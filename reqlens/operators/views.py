@@ -45,9 +45,13 @@ DATASET_SOURCES = [
 # ---- filters ---------------------------------------------------------------
 
 
+def is_scored() -> Column:
+    return F.col("anomaly_score") > 0
+
+
 def scored(df: DataFrame) -> DataFrame:
     """Alerts the firewall gave a positive score."""
-    return df.where(F.col("anomaly_score") > 0)
+    return df.where(is_scored())
 
 
 def filter_log(

@@ -9,7 +9,7 @@ from reqlens.functions import curate, features, identity, parse, url, vectors
 from reqlens.functions import timestamps as tm
 from reqlens.operators import joins, rules, training
 from reqlens.plans import tables as t
-from reqlens.session import spread
+from reqlens.session import spread, where_once
 
 
 def _r6(df: DataFrame, keys: list[str], columns: dict) -> DataFrame:
@@ -438,7 +438,7 @@ def access_lines(events: DataFrame) -> DataFrame:
 def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access lines parsed to request fields with outcome flags."""
     p = parse.parse_access(access_lines(t.table(spark, sf_dir, "events")))
-    return p.where(F.col("_bad").isNull()).select(
+    return where_once(p, F.col("_bad").isNull()).select(
         "seq", "timestamp_raw", "method", "uri", "body", F.col("body_length").cast("bigint").alias("body_length"),
         F.element_at("headers", "Host").alias("host"), F.col("http_status").cast("bigint").alias("http_status"),
         parse.is_blocked(F.col("http_status")).alias("blocked"), parse.is_passed(F.col("http_status")).alias("passed"),

@@ -134,7 +134,7 @@ def _body_events(events: DataFrame) -> DataFrame:
     a = t.access_of(events)
     asks = F.col("seq") % 2 == 0
     return a.select(
-        "method", F.concat(F.lit("/u/"), F.pmod("user_id", F.lit(4))).alias("uri"), F.unix_micros("ts").alias("us"), "seq",
+        "method", F.concat(F.lit("/u/"), F.pmod("user_id", F.lit(4))).alias("uri"), "ts", F.unix_micros("ts").alias("us"), "seq",
         F.when(asks, "alert").otherwise("body").alias("kind"),
         F.when(~asks, F.concat(F.lit("b-"), F.col("seq"))).alias("body"),
     )

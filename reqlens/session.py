@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "reqlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -67,3 +68,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def where_once(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice.
+
+    The optimiser moves a filter below the projection that made its columns and repeats their expressions
+    there; for a parsed JSON record or a scan of many patterns that doubles the work and multiplies the size
+    of the plan. A projection with a partition id is not crossed, so the finished columns are tested.
+    """
+    return (
+        df.withColumn("_once", F.spark_partition_id())
+        .where(condition & (F.col("_once") >= 0))
+        .drop("_once")
+    )

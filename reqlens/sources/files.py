@@ -7,24 +7,19 @@ from pyspark.sql import functions as F
 
 from reqlens import schemas
 from reqlens.functions import curate
+from reqlens.session import where_once
 
 BAD = "_bad"
 LABELLED = ["request_id", "method", "uri", "headers", "body", "label", "attack_family"]
 
 
-def parse_json_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """Typed columns of JSON lines; ``_bad`` holds the text of a malformed line. Blank lines are dropped."""
-    event = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
-    return lines.where(F.trim("value") != "").select(event.alias("e")).select("e.*")
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed lines with the file they came from)."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     event = F.from_json("value", f"{schema}, {BAD} string", {"columnNameOfCorruptRecord": BAD})
     parsed = lines.where(F.trim("value") != "").withColumn("e", event)
-    good = parsed.where(F.col(f"e.{BAD}").isNull()).select("e.*").drop(BAD)
-    bad = parsed.where(F.col(f"e.{BAD}").isNotNull()).select("file", "value")
+    good = where_once(parsed, F.col(f"e.{BAD}").isNull()).select("e.*").drop(BAD)
+    bad = where_once(parsed, F.col(f"e.{BAD}").isNotNull()).select("file", "value")
     return good, bad
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from reqlens.functions import parse
 from reqlens.operators import joins, metrics, rules, views
-from reqlens.session import scratch_path
+from reqlens.session import scratch_path, where_once
 from reqlens.sources.store import KeyedStore
 
 LATENESS = "10 minutes"
@@ -26,13 +26,13 @@ def unscored(df: DataFrame) -> DataFrame:
 def audit_alerts(lines: DataFrame) -> DataFrame:
     """Audit lines to alerts with a positive score, keyed, from the firewall."""
     parsed = parse.parse_audit(lines)
-    good = parsed.where(F.col("_bad").isNull() & F.col("ts").isNotNull())
-    return views.scored(good).withColumns({"source": F.lit("coraza"), "coraza_flagged": F.lit(True)})
+    usable = F.col("_bad").isNull() & F.col("ts").isNotNull() & views.is_scored()
+    return where_once(parsed, usable).withColumns({"source": F.lit("coraza"), "coraza_flagged": F.lit(True)})
 
 
 def quarantined(lines: DataFrame) -> DataFrame:
     """Audit lines that do not parse."""
-    return parse.parse_audit(lines).where(F.col("_bad").isNotNull()).select("_bad")
+    return where_once(parse.parse_audit(lines), F.col("_bad").isNotNull()).select("_bad")
 
 
 def first_seen(df: DataFrame, ts: str = "ts", key: str = "alert_key", lateness: str = LATENESS) -> DataFrame:
@@ -46,8 +46,8 @@ def misses(lines: DataFrame, signatures: list[rules.Signature]) -> DataFrame:
     The status test comes first: it is cheap and the patterns then run on passed requests only.
     """
     parsed = parse.parse_access(lines)
-    passed = parsed.where(F.col("_bad").isNull() & parse.is_passed(F.col("http_status")))
-    hit = rules.prefilter(passed, signatures).where(F.size("matched_signatures") > 0)
+    passed = where_once(parsed, F.col("_bad").isNull() & parse.is_passed(F.col("http_status")))
+    hit = where_once(rules.prefilter(passed, signatures), F.size("matched_signatures") > 0)
     return hit.withColumns(
         {"source": F.lit(views.MISS_SOURCE), "triggered_rules": F.col("matched_signatures"),
          "status": F.lit("generated")}
@@ -56,7 +56,7 @@ def misses(lines: DataFrame, signatures: list[rules.Signature]) -> DataFrame:
 
 def bodies(lines: DataFrame) -> DataFrame:
     """Bodies the access log holds: method, uri, ts, body."""
-    return parse.parse_access(lines).where(F.col("body") != "").select("method", "uri", "ts", "body")
+    return where_once(parse.parse_access(lines), F.col("body") != "").select("method", "uri", "ts", "body")
 
 
 def enrich_batch(batch: DataFrame, store: KeyedStore, scorer: Scorer) -> DataFrame:

@@ -25,26 +25,26 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 # ---- body cache --------------------------------------------------------------
 
-BODY_EVENTS = "method string, uri string, us long, seq long, kind string, body string"
 FILLED = "method string, uri string, us long, seq long, body string"
 
 
 class BodyCache(StatefulProcessor):
     """Last body of a (method, uri) within five minutes of event time; alerts take it.
 
-    Rows: kind ``body`` stores, kind ``alert`` asks. State is one body and its time per key; the store's
-    time-to-live frees keys that went quiet.
+    Rows: kind ``body`` stores, kind ``alert`` asks. State is one body and its time per key; an event-time
+    timer frees a key five minutes after its last body.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cache = handle.getValueState("cache", "us long, body string", BODY_TTL_MS)
+        self.handle = handle
+        self.cache = handle.getValueState("cache", "us long, body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, body = self.cache.get() if self.cache.exists() else (None, None)
+        stored = at
         chunks = list(rows)
         batch = pd.concat(chunks) if len(chunks) > 1 else chunks[0]
         batch = batch.assign(asks=batch["kind"] == "alert").sort_values(["us", "asks", "seq"])
-        state = self.cache.get() if self.cache.exists() else (None, None)
-        at, body = state
         bodies = []
         for row in batch.itertuples(index=False):
             if row.kind == "body":
@@ -53,18 +53,24 @@ class BodyCache(StatefulProcessor):
                 continue
             fresh = at is not None and 0 <= row.us - at < BODY_TTL_MS * 1000
             bodies.append((key[0], key[1], row.us, row.seq, body if fresh else None))
-        if at is not None:
+        if at != stored:
             self.cache.update((at, body))
-        if bodies:
-            yield pd.DataFrame(bodies, columns=["method", "uri", "us", "seq", "body"])
+            self.handle.registerTimer(at // 1000 + BODY_TTL_MS)
+        yield pd.DataFrame(bodies, columns=["method", "uri", "us", "seq", "body"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.cache.exists() and self.cache.get()[0] // 1000 + BODY_TTL_MS <= timerValues.getCurrentWatermarkInMs():
+            self.cache.clear()
+        yield pd.DataFrame(columns=["method", "uri", "us", "seq", "body"])
 
     def close(self) -> None:
         pass
 
 
-def fill_bodies_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("method", "uri").transformWithStateInPandas(
-        statefulProcessor=BodyCache(), outputStructType=FILLED, outputMode="Append", timeMode="ProcessingTime"
+def fill_bodies_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """``events`` holds method, uri, ts, us (ts in microseconds), seq, kind and body."""
+    return events.withWatermark("ts", lateness).groupBy("method", "uri").transformWithStateInPandas(
+        statefulProcessor=BodyCache(), outputStructType=FILLED, outputMode="Append", timeMode="EventTime"
     )
 
 
