@@ -312,34 +312,42 @@ def _poisson_limits() -> list[int]:
     return limits
 
 
+def _poisson_weight(digest: Column, word: int) -> Column:
+    """Poisson(1) weight from one 32-bit word of a hex digest; hex words compare like their numbers."""
+    hexed = F.substring(digest, word * 8 + 1, 8)
+    weight = F.lit(0)
+    for limit in _poisson_limits():
+        weight = weight + (hexed >= f"{limit:08x}").cast("int")
+    return weight
+
+
 def bootstrap_means(
     scored: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, seed: int = BOOTSTRAP_SEED
 ) -> DataFrame:
     """Mean probability per model and bootstrap replicate.
 
     Row weights are Poisson(1), read from a digest of row id and replicate, so a replicate needs no row
-    counts, no shuffle of rows, and comes out the same on every run. Replicates are summed map-side.
+    counts and comes out the same on every run. One digest serves four replicates, and their sums are formed
+    map-side: what is shuffled is four sums per model and block, never rows.
     """
     blocks = -(-replicates // 4)
-    digests = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda b: F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)), b.cast("string")).cast("binary")),
+    text = F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)), F.col("block").cast("string"))
+    drawn = (
+        scored.select("model", "p", "id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        .withColumn("digest", F.md5(text.cast("binary")))
+        .select("model", "p", "block", *[_poisson_weight(F.col("digest"), j).alias(f"w{j}") for j in range(4)])
     )
-    exploded = scored.select("model", "p", F.posexplode(digests).alias("_block", "_digest")).select(
-        "model", "p", "_block", F.col("_digest"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("_word")
+    sums = drawn.groupBy("model", "block").agg(
+        *[F.sum(F.col("p") * F.col(f"w{j}")).alias(f"s{j}") for j in range(4)],
+        *[F.sum(f"w{j}").alias(f"n{j}") for j in range(4)],
     )
-    word = F.conv(F.substring(F.col("_digest"), F.col("_word") * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
-    weight = F.lit(0)
-    for limit in _poisson_limits():
-        weight = weight + (F.col("_w") >= limit).cast("int")
-    replicate = (F.col("_block") * 4 + F.col("_word")).alias("replicate")
-    drawn = exploded.select("model", "p", replicate, word.alias("_w")).where(F.col("replicate") < replicates)
-    return (
-        drawn.withColumn("_weight", weight)
-        .where("_weight > 0")
-        .groupBy("model", "replicate")
-        .agg((F.sum(F.col("p") * F.col("_weight")) / F.sum("_weight")).alias("mean_probability"))
+    words = F.array(
+        *[
+            F.struct((F.col("block") * 4 + j).alias("replicate"), F.try_divide(f"s{j}", f"n{j}").alias("mean_probability"))
+            for j in range(4)
+        ]
     )
+    return sums.select("model", F.explode(words).alias("r")).select("model", "r.*").where(F.col("replicate") < replicates)
 
 
 def bootstrap_interval(means: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from reqlens.functions import curate, features, identity, parse, url, vectors
 from reqlens.functions import timestamps as tm
 from reqlens.operators import joins, rules, training
 from reqlens.plans import tables as t
-from reqlens.session import spread, where_once
+from reqlens.session import where_once
 
 
 def _r6(df: DataFrame, keys: list[str], columns: dict) -> DataFrame:
@@ -43,7 +43,7 @@ FROM parts"""
 
 def payload_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character statistics of URI and body of every request, whole texts included."""
-    r = spread(t.requests(spark, sf_dir))
+    r = t.requests(spark, sf_dir)
     return _r6(r, ["request_id"], features.payload_columns(F.col("uri"), F.col("body")))
 
 
@@ -111,7 +111,7 @@ FROM firsts"""
 
 def body_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token flags of body and headers."""
-    r = spread(t.requests(spark, sf_dir))
+    r = t.requests(spark, sf_dir)
     return _r6(
         r, ["request_id"], features.body_shape(F.col("body")) | features.header_shape(F.col("headers"))
     )
@@ -231,7 +231,7 @@ v AS (SELECT {VECTOR_SQL} AS v FROM x) SELECT v.k AS vector_key, v.l AS vector,
 
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Custom rule hits and score of every request."""
-    scanned = rules.scan_rules(spread(t.requests(spark, sf_dir)))
+    scanned = rules.scan_rules(t.requests(spark, sf_dir))
     return scanned.select("request_id", F.array_join("rule_hits", ",").alias("rule_hits"), "rule_score")
 
 
@@ -262,7 +262,7 @@ SELECT request_id, array_to_string(h, ',') AS rule_hits, CAST(len(h) * 5 AS DOUB
 
 def signature_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures matching the text of every request, in catalog order."""
-    r = rules.prefilter(spread(t.requests(spark, sf_dir)), rules.default_signatures())
+    r = rules.prefilter(t.requests(spark, sf_dir), rules.default_signatures())
     return r.select("request_id", F.array_join("matched_signatures", ",").alias("matched_signatures"))
 
 
@@ -377,7 +377,7 @@ def audit_lines(events: DataFrame) -> DataFrame:
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines parsed to alert fields; cut-off lines are marked."""
-    p = parse.parse_audit(audit_lines(t.table(spark, sf_dir, "events")), ingested_at=F.timestamp_seconds(F.lit(0)))
+    p = parse.parse_audit(audit_lines(t.events(spark, sf_dir)), ingested_at=F.timestamp_seconds(F.lit(0)))
     good = F.col("_bad").isNull()
 
     def shown(c, name: str):
@@ -437,7 +437,7 @@ def access_lines(events: DataFrame) -> DataFrame:
 
 def access_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access lines parsed to request fields with outcome flags."""
-    p = parse.parse_access(access_lines(t.table(spark, sf_dir, "events")))
+    p = parse.parse_access(access_lines(t.events(spark, sf_dir)))
     return where_once(p, F.col("_bad").isNull()).select(
         "seq", "timestamp_raw", "method", "uri", "body", F.col("body_length").cast("bigint").alias("body_length"),
         F.element_at("headers", "Host").alias("host"), F.col("http_status").cast("bigint").alias("http_status"),
@@ -501,7 +501,7 @@ FROM x"""
 
 def timestamp_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times written in every accepted form and a few others, parsed back; minute buckets besides."""
-    e = t.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = t.events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     form = F.pmod("event_id", F.lit(8))
     patterns = [
         "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss",
@@ -545,7 +545,7 @@ def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network-flow rows read as labelled requests."""
     from reqlens.sources.files import flow_requests
 
-    e = t.table(spark, sf_dir, "events")
+    e = t.events(spark, sf_dir)
     rows = e.select(
         F.col("event_id").cast("string").alias("rid"), t._cycle(F.col("event_id"), FLOW_NAMES).alias(" Label"),
         (F.col("user_id") * 3).cast("string").alias(" Destination Port"),

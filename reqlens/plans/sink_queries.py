@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,7 +134,10 @@ def override_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests matched by a signature file, broken patterns dropped."""
     path = scratch_path(spark, "signatures")
-    rows = [(s.id, s.name, s.category, s.severity, [*s.patterns, "(broken"], s.description) for s in rules.default_signatures()]
+    rows = [
+        (s.id, s.name, s.category, s.severity, [*map(re.escape if s.literal else str, s.patterns), "(broken"], s.description)
+        for s in rules.default_signatures()
+    ]
     rows.append(("none", "", "", "", ["[z-a]"], ""))
     catalog = spark.createDataFrame(rows, SIGNATURE)
     array = catalog.agg(F.to_json(F.collect_list(F.struct(*catalog.columns))).alias("value"))

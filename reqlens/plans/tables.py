@@ -35,6 +35,10 @@ def _cycle_sql(key: str, values: list[str | None]) -> str:
     return f"CASE {key} % {len(values)} {arms} END"
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "events"))
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream; the pattern matches the one file."""
     return follow_table(prepare(spark), f"{sf_dir}/events.parque[t]", EVENTS_SCHEMA)
@@ -91,7 +95,7 @@ def _choose(key: Column, cols: list[Column]) -> Column:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages fetched and submitted, documents submitted, and event traffic, as requests."""
-    pages, docs, events = (table(spark, sf_dir, n) for n in ("pages", "documents", "events"))
+    pages, docs, clicks = (table(spark, sf_dir, n) for n in ("pages", "documents", "events"))
     target = F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
     none = F.lit(None).cast("string")
@@ -117,14 +121,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                  label(F.pmod(pid, F.lit(4)) == 0), F.lit("page"))
     posted = shape(docs, F.concat(F.lit("d"), did), F.lit("POST"), F.lit("/submit"), F.col("text"),
                    _cycle(did, TYPES), _cycle(did, AGENTS), none, label(F.pmod(did, F.lit(5)) == 0), F.col("lang"))
-    numbered = events.withColumn("_k", F.regexp_extract("props", "[0-9]+", 0))
+    numbered = clicks.withColumn("_k", F.regexp_extract("props", "[0-9]+", 0))
     traffic = shape(numbered, F.concat(F.lit("e"), eid), _cycle(eid, METHODS),
                     _choose(eid, [_fill(t) for t in EVENT_PREFIXES]),
                     F.when(F.pmod(eid, F.lit(8)).isin(1, 2, 4), _choose(eid, [_fill(b) for b in EVENT_BODIES]))
                     .otherwise(F.lit("")),
                     _cycle(eid, TYPES), _cycle(eid, AGENTS), none, label(F.pmod(eid, F.lit(5)) > 0),
                     F.col("event_type"))
-    return fetched.unionByName(sent).unionByName(posted).unionByName(traffic)
+    return spread(fetched.unionByName(sent).unionByName(posted).unionByName(traffic))
 
 
 def _case_sql(key: str, exprs: list[str]) -> str:
@@ -172,7 +176,7 @@ def pairs_sql(query: str) -> str:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts_of(table(spark, sf_dir, "events"))
+    return alerts_of(events(spark, sf_dir))
 
 
 def alerts_of(e: DataFrame) -> DataFrame:
@@ -244,16 +248,16 @@ STATUS_OF = {"view": 200, "click": 302, "purchase": 403, "signup": 404, "error":
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_of(table(spark, sf_dir, "events"))
+    return access_of(events(spark, sf_dir))
 
 
-def access_of(events: DataFrame) -> DataFrame:
+def access_of(rows: DataFrame) -> DataFrame:
     """Access-log rows derived from events; also applies to a stream of events."""
     status = F
     for kind, code in STATUS_OF.items():
         status = status.when(F.col("event_type") == kind, code)
     get = F.pmod("user_id", F.lit(2)) == 0
-    return events.select(
+    return rows.select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(get, "GET").otherwise("POST").alias("method"),
@@ -280,7 +284,7 @@ MODELS = {"m1": 7919, "m2": 6101, "m3": 5003, "m4": 3001}
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a quasi-random probability per model."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     per_model = F.array(
         *[
@@ -309,7 +313,7 @@ SCORED_SQL = f"""scored AS (
 
 def enriched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the evidence of the custom rule scan, named as the feature step expects."""
-    hits = scan_rules(spread(requests(spark, sf_dir)))
+    hits = scan_rules(requests(spark, sf_dir))
     return hits.select(
         "request_id", "method", "uri", "headers", "body", "label", "attack_family",
         F.col("rule_hits").alias("fired_rule_ids"),
