@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqlens.functions import url
+from reqlens.functions.binding import let
 
 # Codes and weights of the feature contract.
 METHOD_CODES = {"GET": 0, "POST": 1, "PUT": 2, "DELETE": 3, "PATCH": 4, "HEAD": 5, "OPTIONS": 6}
@@ -184,16 +185,18 @@ def special_char_ratio(t: Column) -> Column:
 
 def shannon_entropy_native(t: Column) -> Column:
     """Bits per character; cost grows with length times alphabet, so for short text."""
-    n = F.char_length(t)
 
-    def term(c: Column) -> Column:
-        p = (n - F.char_length(F.replace(t, c, F.lit("")))) / n
-        return -p * F.log2(p)
+    def shares(x: Column, n: Column) -> Column:
+        chars = F.array_distinct(F.split(x, ""))
+        return F.transform(chars, lambda c: (n - F.char_length(F.replace(x, c, F.lit("")))) / n)
 
-    chars = F.array_distinct(F.split(t, ""))
-    return F.when(n == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.transform(chars, term), F.lit(0.0), lambda acc, x: acc + x)
-    )
+    def entropy(x: Column) -> Column:
+        return let(
+            F.char_length(x),
+            lambda n: F.aggregate(shares(x, n), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)),
+        )
+
+    return F.when(t == "", F.lit(0.0)).otherwise(let(t, entropy))
 
 
 def _entropy_of(value: str | None) -> float | None:
@@ -316,13 +319,15 @@ def path_shape(uri: Column) -> dict[str, Column]:
 
 def query_shape(uri: Column) -> dict[str, Column]:
     pairs = url.first_values(url.param_pairs(url.query_of(text(uri)), keep_blank=False))
-    return {
-        "query_keys": F.size(pairs).cast("double"),
-        "query_value_length": F.aggregate(
-            pairs, F.lit(0), lambda acc, p: acc + F.char_length(p["v"])
-        ).cast("double"),
-        "query_sensitive": _flag(F.exists(pairs, lambda p: F.lower(p["k"]).isin(SENSITIVE_KEYS))),
-    }
+    shape = let(
+        pairs,
+        lambda ps: F.struct(
+            F.size(ps).cast("double").alias("n"),
+            F.aggregate(ps, F.lit(0), lambda acc, p: acc + F.char_length(p["v"])).cast("double").alias("length"),
+            _flag(F.exists(ps, lambda p: F.lower(p["k"]).isin(SENSITIVE_KEYS))).alias("sensitive"),
+        ),
+    )
+    return {"query_keys": shape["n"], "query_value_length": shape["length"], "query_sensitive": shape["sensitive"]}
 
 
 def body_shape(body: Column) -> dict[str, Column]:

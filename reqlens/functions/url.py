@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reqlens.functions.binding import let
+
 SCHEME_AND_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
 BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
@@ -59,8 +61,14 @@ def param_pairs(query: Column, keep_blank: bool = True) -> Column:
 
 def first_values(pairs: Column) -> Column:
     """Pairs reduced to the first value of each key, order kept."""
-    keys = F.transform(pairs, lambda p: p["k"])
-    return F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+
+    def firsts(ps: Column) -> Column:
+        return let(
+            F.transform(ps, lambda p: p["k"]),
+            lambda keys: F.filter(ps, lambda p, i: F.array_position(keys, p["k"]) == i + 1),
+        )
+
+    return let(pairs, firsts)
 
 
 def strict_pairs(query: Column) -> Column:

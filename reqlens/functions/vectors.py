@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reqlens.functions.binding import let
+
 # First rule number of each thousand, key, label.
 VECTOR_RANGES = [
     (913000, "scanner", "Scanner"),
@@ -35,9 +37,13 @@ def vector_of(rule: Column) -> Column:
 
 def dominant_vector(rules: Column) -> Column:
     """Vector most of an alert's rules vote for; ties go to the one seen first."""
-    found = F.transform(F.coalesce(rules, F.array().cast("array<string>")), vector_of)
-    keys = F.transform(found, lambda v: v["key"])
-    votes = F.transform(keys, lambda k: F.size(F.filter(keys, lambda other: other == k)))
-    winner = F.array_position(votes, F.array_max(votes))
     nothing = vector_of(F.lit(None).cast("string"))
-    return F.when(F.size(found) > 0, F.try_element_at(found, winner.cast("int"))).otherwise(nothing)
+
+    def winner(found: Column) -> Column:
+        def pick(keys: Column) -> Column:
+            votes = F.transform(keys, lambda k: F.size(F.filter(keys, lambda other: other == k)))
+            return let(votes, lambda v: F.get(found, (F.array_position(v, F.array_max(v)) - 1).cast("int")))
+
+        return let(F.transform(found, lambda v: v["key"]), pick)
+
+    return F.when(F.size(rules) > 0, let(F.transform(rules, vector_of), winner)).otherwise(nothing)
