@@ -40,7 +40,7 @@ _WINDOWS = ", ".join(f"('{k}', {s})" for k, s in
 WINDOW_RATES = f"""WITH {t.ACCESS_SQL}, k(keyword, s) AS (VALUES {_WINDOWS}),
 j AS (SELECT keyword, http_status FROM k LEFT JOIN access ON date_trunc('minute', ts) BETWEEN
   TIMESTAMP '{NOW}' - to_seconds(s) AND TIMESTAMP '{NOW}')
-SELECT keyword, count(http_status) AS window_requests, count_if(http_status >= 400) AS window_errors,
+SELECT keyword, count(http_status) AS window_requests, coalesce(count_if(http_status >= 400), 0) AS window_errors,
   round(coalesce(count_if(http_status >= 400) / nullif(count(http_status), 0), 0), 6)::DOUBLE AS error_rate FROM j GROUP BY keyword"""
 
 
