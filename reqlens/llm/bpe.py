@@ -6,19 +6,25 @@ named like the output column is replaced. Repeated rows are coded alike. Very lo
 
 from __future__ import annotations
 
+import gc
 import json
+import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Rank of a leaf whose pair cannot be merged.
-NO_MERGE = 1 << 62
+from reqlens.llm.common import small_batches
+
+#: Rank of a leaf whose pair cannot be merged, and bits of an id in a pair.
+NO_MERGE, PAIR = 1 << 62, 24
 
 
 def byte_characters() -> list[str]:
@@ -31,68 +37,78 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-class PairTree:
-    """Minimum over the adjacent pairs of one word; a leaf holds rank and place in one number.
+def merge_word(ids: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """Merge the lowest-ranked, leftmost pair until none can be merged; ranks: pair -> (rank, merged id).
 
-    The root is therefore the leftmost pair of the lowest rank. A merge changes three leaves, each in
-    logarithmic time.
+    A segment tree holds the least of rank * n + place over the adjacent pairs, so its root is the leftmost pair
+    of the lowest rank. A merge changes three leaves (the pair's own, its right part's and its left neighbour's),
+    and an update climbs only as far as the least changes.
     """
-
-    def __init__(self, keys: list[int]) -> None:
-        self.size = 1
-        while self.size < len(keys):
-            self.size *= 2
-        tree = [NO_MERGE] * self.size + keys + [NO_MERGE] * (self.size - len(keys))
-        for i in range(self.size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a <= b else b
-        self.tree = tree
-
-    @property
-    def root(self) -> int:
-        return self.tree[1]
-
-    def update(self, leaf: int, key: int) -> None:
-        tree, i = self.tree, leaf + self.size
-        tree[i] = key
-        i //= 2
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                break
-            tree[i] = least
-            i //= 2
-
-
-def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge the lowest-ranked, leftmost pair until none can be merged; ranks: pair -> (rank, merged id)."""
     n = len(ids)
     if n < 2:
         return ids
-    ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def key(i: int) -> int:
-        j = after[i]
-        found = ranks.get((ids[i], ids[j])) if j < n else None
-        return found[0] * n + i if found else NO_MERGE
-
-    tree = PairTree([key(i) for i in range(n)])
-    while (least := tree.root) < NO_MERGE:
+    ids, get = list(ids), ranks.get
+    leaves = []
+    for i in range(n - 1):
+        found = get(ids[i] << PAIR | ids[i + 1])
+        leaves.append(found[0] * n + i if found else NO_MERGE)
+    size = 1 << (n - 1).bit_length()
+    tree = [NO_MERGE] * size + leaves + [NO_MERGE] * (size - n + 1)
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (least := tree[1]) < NO_MERGE:
         i = least % n
         j = after[i]
-        ids[i] = ranks[ids[i], ids[j]][1]
+        ids[i] = get(ids[i] << PAIR | ids[j])[1]
+        ids[j] = -1
         after[i] = k = after[j]
+        changed = [(j, NO_MERGE)]
+        found = None
         if k < n:
             before[k] = i
-        ids[j] = -1
-        tree.update(j, NO_MERGE)
-        tree.update(i, key(i))
-        if before[i] >= 0:
-            tree.update(before[i], key(before[i]))
+            found = get(ids[i] << PAIR | ids[k])
+        changed.append((i, found[0] * n + i if found else NO_MERGE))
+        if (h := before[i]) >= 0:
+            found = get(ids[h] << PAIR | ids[i])
+            changed.append((h, found[0] * n + h if found else NO_MERGE))
+        for leaf, key in changed:
+            leaf += size
+            if tree[leaf] == key:
+                continue
+            tree[leaf] = key
+            while leaf > 1:
+                other = tree[leaf ^ 1]
+                if other < key:
+                    key = other
+                leaf >>= 1
+                if tree[leaf] == key:
+                    break
+                tree[leaf] = key
     return [x for x in ids if x >= 0]
 
 
+class Words(dict):
+    """Ids of the words met, each merged once; bounded, very long words are not kept."""
+
+    def __init__(self, coded) -> None:
+        self.coded = coded
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.coded(word)
+        if len(word) < 40:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def token_strings(rules: dict) -> dict[int, str]:
+    """Each id's string, special tokens included."""
+    return {i: t for t, i in rules["model"]["vocab"].items()} | {x["id"]: x["content"] for x in rules["added_tokens"]}
+
+
 class WordBpe:
     """The rules of one vocabulary file: special tokens, normal form, word pattern, merges.
 
@@ -105,66 +121,58 @@ class WordBpe:
         vocab = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         pieces = rules["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(pieces[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = pieces[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.words = regex.compile(pattern)
+        simple = pattern.replace(r"\p{White_Space}", r"\x20\x09-\x0D").replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9")
+        self.ascii_words = re.compile(simple)
         self.specials = {x["content"]: x["id"] for x in rules["added_tokens"]}
         self.special = regex.compile("(" + "|".join(regex.escape(x) for x in self.specials) + ")") if self.specials else None
         self.vocab, self.characters = vocab, byte_characters()
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {}
         for rank, (a, b) in enumerate(pairs):
-            self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+            self.ranks[vocab[a] << PAIR | vocab[b]] = (rank, vocab[a + b])
+        self.tokens = token_strings(rules)
+        self.known = Words(self.word)
 
     def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            shown = [self.characters[b] for b in word.encode("utf-8", "surrogatepass")]
-            shown[-1] += self.end
-            ids = [self.vocab[c] for c in shown if c in self.vocab]
-            found = tuple(merge_word(ids, self.ranks))
-            if len(word) < 40:
-                if len(self.known) >= 400_000:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        """Ids of one word: its bytes' characters, the last one with the word end, merged."""
+        shown = [self.characters[b] for b in word.encode("utf-8", "surrogatepass")]
+        shown[-1] += self.end
+        return tuple(merge_word([self.vocab[c] for c in shown if c in self.vocab], self.ranks))
 
-    def normal(self, text: str) -> str:
-        """Composed form, lower-cased one character at a time (a final sigma is not special)."""
-        text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def split(self, text: str) -> list[str]:
+        """Words of the normal form: composed, lower-cased one character at a time (a final sigma is not special)."""
+        if text.isascii():
+            return self.ascii_words.findall(text.lower())
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def encode(self, text: str | None) -> Iterator[int]:
         if not text:
             return iter(())
         if self.special is None or not self.special.search(text):
-            return chain.from_iterable(map(self.word, self.words.findall(self.normal(text))))
+            return chain.from_iterable(map(self.known.__getitem__, self.split(text)))
         out: list[int] = []
         for piece in self.special.split(text):
             if piece in self.specials:
                 out.append(self.specials[piece])
             elif piece:
-                out.extend(chain.from_iterable(map(self.word, self.words.findall(self.normal(piece)))))
+                out.extend(chain.from_iterable(map(self.known.__getitem__, self.split(piece))))
         return iter(out)
 
-    def decode(self, ids: list[int] | None) -> str:
-        """The tokens' strings, one space between them; unknown ids are left out."""
-        if not ids:
-            return ""
-        get = self.tokens.get
-        return " ".join([t for t in map(get, ids) if t is not None])
 
-
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with one more column that ``make(batch)`` computes from Arrow batches."""
+def _with_column(df: DataFrame, name: str, kind: T.DataType, make, by: str | None = None) -> DataFrame:
+    """``df`` with one more column, computed from small Arrow batches by the function that ``make`` returns."""
     kept = [c for c in df.columns if c != name]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
 
     def run(batches):
+        gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
         work = make()
-        for batch in batches:
-            cols = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*cols, work(batch)], names=[*kept, name])
+        for whole in batches:
+            for batch in small_batches(whole, by) if by else [whole]:
+                cols = [batch.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*cols, work(batch)], names=[*kept, name])
 
     return df.mapInArrow(run, schema)
 
@@ -178,27 +186,42 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
         bpe = WordBpe(rules.value)
 
         def work(batch):
-            flat: list[np.ndarray] = []
-            ends = [0]
+            flat = array("i")
+            ends = array("i", [0])
             for t in batch.column(text):
-                ids = np.fromiter(bpe.encode(t.as_py()), np.int32)
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids))
-            values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+                flat.extend(bpe.encode(t.as_py()))
+                ends.append(len(flat))
+            return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
 
         return work
 
-    return _with_column(df, out, T.ArrayType(T.IntegerType()), make)
+    return _with_column(df, out, T.ArrayType(T.IntegerType()), make, text)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text that the ids stand for, special tokens included."""
+    """``df`` with the text that the ids stand for: the tokens' strings, special ones too, one space between them.
+
+    Null gives an empty text; ids outside the vocabulary are left out.
+    """
     with open(vocabulary, encoding="utf-8") as f:
         rules = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        bpe = WordBpe(rules.value)
-        return lambda batch: pa.array([bpe.decode(x.as_py()) for x in batch.column(ids)], pa.string())
+        tokens = token_strings(json.loads(rules.value))
+        strings = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.large_string())
+
+        def work(batch):
+            lists = batch.column(ids).fill_null([]) if batch.column(ids).null_count else batch.column(ids)
+            flat, rows = lists.flatten(), pc.list_parent_indices(lists)
+            known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings)))
+            flat, rows = flat.filter(known), rows.filter(known)
+            shown = strings.take(flat)
+            if shown.null_count:
+                rows, shown = rows.filter(shown.is_valid()), shown.drop_null()
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rows.to_numpy(), minlength=len(lists)))])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown), pa.scalar(" ", pa.large_string()))
+            return joined.cast(pa.string())
+
+        return work
 
     return _with_column(df, out, T.StringType(), make)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,10 +13,25 @@ from reqlens.session import cut_lineage, prepare
 
 #: A word of the word-shingle and quality operators: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that go to or come from a Python worker at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(batch, column: str):
+    """A batch cut into pieces whose texts have some MB, at least one row each."""
+    sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
+    start = 0
+    at = sizes.to_numpy()
+    while start < len(at):
+        before = at[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(at, before + BATCH_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table."""
+    """A given table; rows go to Python in batches of a few MB, as a batch of very long texts would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
