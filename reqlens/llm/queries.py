@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import bpe, minhash_dedup, sentence_dedup, sharding
+from reqlens.llm import bpe, minhash_dedup, sentence_dedup, sharding, suffix_dedup
 from reqlens.llm.common import table, text_or_empty
 
 
@@ -40,6 +40,15 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_merged_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a document before it has too, and the digest of the rest."""
+    cut = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they stand for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +68,7 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bagminhash_dedup": op3_bagminhash_dedup,
     "op4_hilbert_sharding": op4_hilbert_sharding,
+    "op5_merged_bwt_dedup": op5_merged_bwt_dedup,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_sentence_spans": op10_sentence_spans,
 }
