@@ -5,29 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import bpe, minhash_dedup
-from reqlens.llm.common import table
-from reqlens.llm.queries import vocabulary
+from reqlens.llm import bpe, cotraining, minhash_dedup, mixing, suffix_dedup
+from reqlens.llm.common import join_same, table
+from reqlens.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, vocabulary, with_domain
 from reqlens.session import cut_lineage
 
-#: SQL cannot express a trained classifier; the stages are tested one by one instead.
+#: SQL cannot express a trained classifier; the stages are tested against brute force one by one instead.
 ORACLE_SQL = None
+#: Columns of documents, which every stage but the last returns.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Tokens of the mixture in percent of the tokens that reach it.
+PERCENT = 100
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier does not reject; a number is kept if any of its rows is."""
+    scored = cotraining.classify(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
+    return join_same(docs, scored, ["doc_id"], "left_semi").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     groups = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(docs.columns)
+    return join_same(docs, groups, ["doc_id"], "left_semi").select(COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that a document before them has; a character that was cut in two goes too."""
+    cut = suffix_dedup.repeated_bytes(docs, carry=["lang", "source"])
+    text = suffix_dedup.whole_characters("kept").alias("text")
+    return cut.select("doc_id", text, "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the target weights take: a row for each epoch, the last one of a leaf cut to its tokens."""
+    plan = mixing.mix(with_domain(docs), MIX_WEIGHTS, PERCENT, MIX_EPOCHS, MIX_SEED)
+    taken = mixing.taken_rows(docs, plan)
+    return taken.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether decoding them is stable."""
-    coded = bpe.encode(docs, vocabulary())
+    """Ids of every row's text, and a digest of the text they decode to."""
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
     back = bpe.decode(coded, vocabulary())
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("near_dedup", near_dedup), ("encoding", encoding)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("repeated_strings", repeated_strings), ("mixture", mixture), ("encoding", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,12 @@ def identity(doc: str = "doc_id", text: str = "text") -> Column:
     """
     made = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1) - 1
     return F.coalesce(F.col(doc).cast("long"), made)
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of the left side stay."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(other[f"_same_{k}"])
+    return left.join(other, condition, how).drop(*[f"_same_{k}" for k in keys])

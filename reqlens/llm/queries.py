@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import bpe, minhash_dedup, sentence_dedup, sharding, suffix_dedup
+from reqlens.llm import bpe, cotraining, embedding_dedup, minhash_dedup, mixing, outliers, preference, sentence_dedup, sharding, suffix_dedup
 from reqlens.llm.common import table, text_or_empty
 
 
@@ -18,6 +18,29 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Target weights of the mixing query; keys not named have weight 1.
+MIX_WEIGHTS = {"domain": {"d0": 1, "d1": 3, "d2": 2, "d3": 4}, "lang": {"en": 5, "de": 3, "fr": 3, "es": 2}, "source": {"src0": 2}}
+#: The source's number modulo four stands for its domain.
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 80, 2, 7
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.expr("try_cast(regexp_extract(source, '[0-9]+$', 0) as int)")
+    return docs.withColumn("domain", F.concat(F.lit("d"), (number % 4).cast("string")))
+
+
+def op1_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often, and with how many tokens of one more epoch, the mixture takes every document."""
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    plan = mixing.mix(docs, MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+    return plan.withColumn("taken_tokens", F.col("epochs") * F.col("n_tokens") + F.col("part_tokens"))
+
+
+def op2_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector among those of its label."""
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group and verdict of every document."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -49,6 +72,34 @@ def op5_merged_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs made from the conversations: each one against itself with another one's turns from some turn on.
+
+    The turn is the conversation's number modulo its number of turns; the other one is the next in number.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    own = turns.join(sizes, "conv_id").withColumn("fork", F.expr("pmod(conv_id, n)"))
+    chosen = own.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    forks = sizes.select(F.col("conv_id").alias("pair_id"), F.expr("pmod(conv_id, n)").alias("fork"))
+    tail = turns.select((F.col("conv_id") - 1).alias("pair_id"), "turn", "role", "text").join(forks, "pair_id").where("turn >= fork")
+    head = own.where("turn < fork").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    return preference.preference_pairs(chosen, head.unionByName(tail.select("pair_id", "turn", "role", "text")))
+
+
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict of its language and source."""
+    docs = outliers.base_statistics(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text")
+    judged = outliers.outliers(docs)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "outlier_distance")
+
+
+def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views, and the verdict."""
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they stand for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,9 +117,14 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_mixing": op1_hierarchical_mixing,
+    "op2_subspace_pigeonhole": op2_subspace_pigeonhole,
     "op3_bagminhash_dedup": op3_bagminhash_dedup,
     "op4_hilbert_sharding": op4_hilbert_sharding,
     "op5_merged_bwt_dedup": op5_merged_bwt_dedup,
+    "op6_preference_pairs": op6_preference_pairs,
+    "op7_robust_outliers": op7_robust_outliers,
+    "op8_cotrained_quality": op8_cotrained_quality,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_sentence_spans": op10_sentence_spans,
 }

@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from reqlens.llm.common import identity, renamed, small_batches
 from reqlens.session import cut_lineage
@@ -243,10 +244,16 @@ def _byte_runs(windows: np.ndarray, length: int) -> list[int]:
 FLAGS, COPIES, VERDICTS = 0, 1, 2
 
 
-def repeated_bytes(df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept): of each row the removed byte runs (starts and ends in turn) and what is left."""
-    rows = renamed(df, {doc: "_doc", text: "_text"}).select(
-        F.col("_doc").isNotNull().alias("_named"), identity("_doc", "_text").alias("_id"),
+def repeated_bytes(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None,
+) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept): of each row the removed byte runs (starts and ends in turn) and what is left.
+
+    The string columns named in ``carry`` follow.
+    """
+    carry = carry or []
+    rows = renamed(df, {doc: "_doc", text: "_text", **{c: f"_carry_{c}" for c in carry}}).select(
+        *[F.col(f"_carry_{c}").cast("string") for c in carry], F.col("_doc").isNotNull().alias("_named"), identity("_doc", "_text").alias("_id"),
         F.coalesce("_text", F.lit("")).cast("binary").alias("_raw")).withColumn("_hash", F.xxhash64("_raw"))
     sized = cut_lineage(rows.select("_id", "_hash", F.octet_length("_raw").alias("_n"), F.sha2("_raw", 256).alias("_digest")), "digests")
     total = sized.agg(F.sum("_n")).first()[0] or 0
@@ -333,7 +340,7 @@ def repeated_bytes(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
         out = [(p, b, _pack_runs([verdicts[i] for i in own])) for p, b, own in zip(rows["part"], rows["bin"], refs, strict=True)]
         return pd.DataFrame(out, columns=["part", "bin", "runs"])
 
-    sent = texts.drop("_named").groupBy("part").cogroup(mail.groupBy("part")).applyInPandas(
+    sent = texts.select("part", "_id", "_hash", "_raw").groupBy("part").cogroup(mail.groupBy("part")).applyInPandas(
         send_pieces, "bin long, part long, pieces binary, sizes binary, owners binary")
     answers = sent.groupBy("bin").applyInPandas(answer, "part long, bin long, runs binary")
     back = mail.unionByName(letters(answers, VERDICTS, F.col("part"), F.col("bin"), None, None, F.col("runs")))
@@ -363,7 +370,16 @@ def repeated_bytes(df: DataFrame, doc: str = "doc_id", text: str = "text", lengt
             runs = removed.get(k, [0, len(raw)] if len(raw) >= length else [])
             kept = b"".join(raw[a:b] for a, b in zip([0, *runs[1::2]], [*runs[::2], len(raw)], strict=True))
             out.append((i if named else None, len(raw), runs, kept))
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "removed", "kept"]).astype({"doc_id": "Int64"})
+        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "removed", "kept"]).astype({"doc_id": "Int64"})
+        for c in carry:
+            frame[c] = texts[f"_carry_{c}"].to_numpy(object)
+        return frame
 
     return texts.groupBy("part").cogroup(back.groupBy("part")).applyInPandas(
-        cut_texts, "doc_id long, n_bytes long, removed array<bigint>, kept binary")
+        cut_texts, ", ".join(["doc_id long, n_bytes long, removed array<bigint>, kept binary", *[f"`{c}` string" for c in carry]]))
+
+
+@pandas_udf("string")
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Kept bytes as a text; what is left of a character that was cut in two goes."""
+    return kept.map(lambda raw: raw.decode("utf-8", "ignore"), na_action="ignore")
