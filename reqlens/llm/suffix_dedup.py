@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -379,7 +379,11 @@ def repeated_bytes(
         cut_texts, ", ".join(["doc_id long, n_bytes long, removed array<bigint>, kept binary", *[f"`{c}` string" for c in carry]]))
 
 
-@pandas_udf("string")
-def whole_characters(kept: pd.Series) -> pd.Series:
+def whole_characters(name: str) -> Column:
     """Kept bytes as a text; what is left of a character that was cut in two goes."""
-    return kept.map(lambda raw: raw.decode("utf-8", "ignore"), na_action="ignore")
+
+    @pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda raw: raw.decode("utf-8", "ignore"), na_action="ignore")
+
+    return text(F.col(name))
