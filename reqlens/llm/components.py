@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError(f"links still change after {most_rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
+def forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links: each node with the first node of its part."""
+    part = np.arange(n)
+    while True:
+        low = np.minimum(part[i], part[j])
+        new = part.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, part[i], low)
+        np.minimum.at(new, part[j], low)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    own = np.flatnonzero(part != np.arange(n))
+    return own, part[own]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.components import components
+from reqlens.llm.components import components, forest
 from reqlens.session import cut_lineage
 
 COSINE, BLOCKS, GRID, GROUP, SEED = 0.93, 4, 2, 1024, 11
@@ -92,24 +92,6 @@ def _links(left: np.ndarray, right: np.ndarray, same: bool, block: int, home_l,
     return i[close], j[close]
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links: each node with the first node of its part."""
-    part = np.arange(n)
-    while True:
-        low = np.minimum(part[i], part[j])
-        new = part.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, part[i], low)
-        np.minimum.at(new, part[j], low)
-        new = new[new]
-        if (new == part).all():
-            break
-        part = new
-    own = np.flatnonzero(part != np.arange(n))
-    return own, part[own]
-
-
 def near_vectors(
     df: DataFrame, cosine: float = COSINE, vec: str = "vec_id", embedding: str = "embedding", label: str = "label",
     blocks: int = BLOCKS, grid: int = GRID,
@@ -173,7 +155,7 @@ def near_vectors(
         np.add.at(out, i, n[j])
         np.add.at(out, j, n[i])
         rep = frame["rep"].to_numpy()
-        node, root = _forest(i, j, len(frame))
+        node, root = forest(i, j, len(frame))
         roots = np.arange(len(frame))
         roots[node] = root
         hit = np.flatnonzero(out)

@@ -10,7 +10,8 @@ and later points cannot win, so a long text costs about one draw a shingle.
 Documents whose signatures agree in a band are candidates. In each bucket every member is compared with the
 smallest and the largest member; then members that are not yet linked are compared with all members of the bucket
 that belong to other groups. So no candidate pair that could join two groups is left out, and copies are not
-expanded into all pairs. Candidates are verified on their exact multisets.
+expanded into all pairs. Small buckets are compared by pairs that are joined and verified, crowded ones chunk by chunk
+in tasks that return a spanning forest. All are verified on their exact multisets.
 
 A text of fewer words than a shingle has one shingle of all its words. Null, empty and blank texts have none:
 each is a group of its own. Rows that share a doc_id are one document.
@@ -22,15 +23,18 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqlens.llm.common import WORD, identity, renamed
-from reqlens.llm.components import components
+from reqlens.llm.components import components, forest
 from reqlens.session import cut_lineage
 
+#: Members of a bucket from which on it is compared in chunks instead of by pairs, and members of a chunk.
+CROWD, CHUNK = 16, 256
 #: Words of a shingle, least similarity, bands and places of a band.
 SHINGLE, SIMILARITY, BANDS, PLACES = 5, 0.8, 25, 5
 GOLD, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -177,6 +181,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return wide.mapInArrow(run, "a long, b long")
 
 
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the lesser counts of every two different multisets: the k-th copy of an element is an element of its own."""
+    element = np.concatenate([np.repeat(e, c) for e, c in sets])
+    owner = np.repeat(np.arange(len(sets)), [int(c.sum()) for _, c in sets])
+    nth = np.concatenate([np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) for _, c in sets])
+    column, count = np.unique(element + mixed(nth.astype(np.uint64)), return_inverse=True, return_counts=True)[1:]
+    shared = count[column] > 1
+    column = np.unique(column[shared], return_inverse=True)[1]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        block = np.zeros((len(sets), 4096), np.float32)
+        block[owner[a:b], column[a:b] - low] = 1
+        total += block @ block.T
+    return total
+
+
+def _crowd_links(crowd: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """A spanning forest of the links between groups in crowded buckets.
+
+    A bucket is cut into chunks of about CHUNK members; a task holds two chunks and compares their members of
+    different groups on their exact multisets. Pairs are not returned, so rows grow with members, not with pairs.
+    """
+    word = re.compile(WORD)
+    mine = crowd.withColumn("mine", F.pmod(F.xxhash64("_id"), F.col("chunks")).cast("int"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("_id", "band", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+    def compare(frame):
+        known = WordHashes()
+        sets = [np.unique(shingle_hashes(word.findall(t), known, shingle), return_counts=True) for t in frame["_text"]]
+        both = overlaps(sets)
+        size = np.array([int(c.sum()) for _, c in sets], np.float64)
+        group = frame["group"].to_numpy()
+        alike = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+        i, j = np.nonzero(np.triu(alike & (group[:, None] != group[None, :]), 1))
+        node, root = forest(i, j, len(sets))
+        ids = frame["_id"].to_numpy()
+        return pd.DataFrame({"a": ids[root], "b": ids[node]})
+
+    return dealt.join(texts, "_id").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(
     df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
     bands: int = BANDS, places: int = PLACES,
@@ -201,14 +251,17 @@ def near_duplicates(
     open_members = cut_lineage(
         shared.join(found, shared["_id"] == found["node"], "left")
         .select("_id", "band", "low", "high", F.coalesce("component", "_id").alias("group")), "members")
-    mixed_up = open_members.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1").select("band")
-    rest = open_members.join(mixed_up, "band", "left_semi").where("_id <> low and _id <> high")
+    mixed_up = open_members.groupBy("band").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count(F.lit(1)).alias("n"))
+    mixed_up = cut_lineage(mixed_up.where("g0 < g1").select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), (F.col("n") > CROWD).alias("crowded")), "mixed")
+    rest = open_members.join(mixed_up.where("not crowded"), "band", "left_semi").where("_id <> low and _id <> high")
     other = rest.select("band", F.col("_id").alias("b"), F.col("group").alias("group_b"))
     across = (
         rest.select("band", F.col("_id").alias("a"), "group").join(other, "band")
         .where("a < b and group <> group_b").select("a", "b").distinct()
     )
     late = _verified(across, texts, shingle, similarity)
+    crowd = open_members.join(mixed_up.where("crowded"), "band").select("_id", "band", "group", "chunks")
+    late = late.unionByName(_crowd_links(crowd, texts, shingle, similarity))
     final = components(links.unionByName(late))
     rep = rows.select("_doc", "_id").join(member, "_id", "left").withColumn("_rep", F.coalesce("rep", "_id"))
     named = rep.join(final, rep["_rep"] == final["node"], "left")

@@ -65,6 +65,32 @@ def test_groups_equal_brute_force(spark, make_docs, prose):
     assert got == {i: (g, i == g) for i, g in want.items()}
 
 
+def test_crowded_buckets_are_compared_alike(spark, make_docs, prose, monkeypatch):
+    import random
+    r = random.Random(8)
+    monkeypatch.setattr(m, "CHUNK", 7)
+    base = prose(120, 99).split(" ")
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(len(words))] = "edit%d" % r.randrange(1000)
+        rows.append((k, " ".join(words)))
+    r.shuffle(rows)
+    want = brute_groups(rows)
+    assert {x.doc_id: x.component_id for x in m.near_duplicates(make_docs(rows)).collect()} == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    sets = [(np.arange(30, dtype=np.uint64)[c > 0], c[c > 0]) for c in rng.integers(0, 4, (9, 30))]
+    full = np.array([[sum(min(dict(zip(*a, strict=True)).get(e, 0), c) for e, c in zip(*b, strict=True)) for b in sets] for a in sets])
+    np.fill_diagonal(full, 0)
+    got = m.overlaps(sets)
+    np.fill_diagonal(got, 0)
+    assert (got == full).all()
+
+
 def test_edges(spark, make_docs):
     rows = [(4, None), (3, ""), (2, " \n"), (9, "one two"), (7, "one two"), (8, "one  two\n"), (None, "one two"), (5, "x " * 30_000), (6, "x " * 30_000), (6, "x " * 30_000)]
     out = m.near_duplicates(make_docs(rows, extra=True)).collect()
