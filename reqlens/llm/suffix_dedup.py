@@ -39,7 +39,7 @@ from reqlens.session import cut_lineage
 #: Bytes of a repeated string, of the strings that name windows, and of a super-symbol.
 LENGTH, GRAM, STEP = 50, 24, 10
 #: Bytes of text that a part, and bytes of input that a bin, should hold.
-PART_BYTES, SHARD_BYTES = 12 << 20, 1 << 18
+PART_BYTES, SHARD_BYTES = 6 << 20, 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
@@ -77,7 +77,10 @@ def starts_of_runs(names: np.ndarray) -> np.ndarray:
 
 
 def spread_names(names: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and 32-bit key of each name; a key is only compared within its bin."""
+    """Bin and 32-bit key of each name, which as a least hash is small and so is mixed once more."""
+    names = names * np.uint64(0x94D049BB133111EB)
+    names ^= names >> np.uint64(31)
+    names *= np.uint64(0xBF58476D1CE4E5B9)
     return ((names >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int32), names.astype(np.uint32)
 
 
@@ -258,7 +261,7 @@ def repeated_bytes(
     sized = cut_lineage(rows.select("_id", "_hash", F.octet_length("_raw").alias("_n"), F.sha2("_raw", 256).alias("_digest")), "digests")
     total = sized.agg(F.sum("_n")).first()[0] or 0
     n_parts = max(4, -(-total // PART_BYTES))
-    n_bins = 4 * n_parts
+    n_bins = n_parts
     least = sized.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     copies = sized.join(least, "_digest").where("_id <> _first").select("_id", "_hash").distinct()
     texts = rows.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(n_parts)).cast("int"))
@@ -272,27 +275,27 @@ def repeated_bytes(
     def send_names(batches):
         for whole in batches:
             for batch in small_batches(whole, "_raw"):
-                by_part: dict[int, list] = {}
+                lists, parts = [], []
                 for p, raw in zip(batch.column("part").to_pylist(), batch.column("_raw").to_pylist(), strict=True):
                     names = window_names(np.frombuffer(raw, np.uint8), length, gram)
                     if len(names):
-                        by_part.setdefault(p, []).append(np.unique(names[starts_of_runs(names)]))
-                out = []
-                for p, lists in by_part.items():
-                    names, count = np.unique(np.concatenate(lists), return_counts=True)
-                    at, key = spread_names(names, n_bins)
-                    for many in (False, True):
-                        chosen = (count > 1) == many
-                        if chosen.any():
-                            out += [(b, p, many, keys.tobytes()) for b, keys in _grouped(at[chosen], key[chosen])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["bin", "part", "many", "keys"])
+                        lists.append(np.unique(names[starts_of_runs(names)]))
+                        parts.append(p)
+                if not lists:
+                    continue
+                names, owner = np.concatenate(lists), np.repeat(np.array(parts, np.uint32), [len(x) for x in lists])
+                order = np.lexsort((names, owner))
+                names, owner = names[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])]))
+                many = np.diff([*first, len(names)]) > 1
+                at, key = spread_names(names[first], n_bins)
+                tag = owner[first] << np.uint32(1) | many.astype(np.uint32)
+                out = [(b, key[rows].tobytes(), tag[rows].tobytes()) for b, rows in _grouped(at, np.arange(len(at)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["bin", "keys", "tags"])
 
     def flag_names(rows: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(v, np.uint32) for v in rows["keys"]]
-        sizes = [len(x) for x in lists]
-        keys = np.concatenate(lists)
-        weight, owner = np.repeat(np.where(rows["many"], 2, 1), sizes), np.repeat(rows["part"].to_numpy(), sizes)
+        keys, tags = (np.concatenate([np.frombuffer(v, np.uint32) for v in rows[c]]) for c in ("keys", "tags"))
+        weight, owner = (tags & np.uint32(1)).astype(np.int64) + 1, (tags >> np.uint32(1)).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         keys, weight, owner = keys[order], weight[order], owner[order]
         cuts = starts_of_runs(keys)
@@ -300,7 +303,7 @@ def repeated_bytes(
         out = [(rows["bin"].iloc[0], p, np.unique(k).tobytes()) for p, k in _grouped(owner[again], keys[again])] if again.any() else []
         return pd.DataFrame(out, columns=["bin", "part", "keys"])
 
-    names = texts.select("part", "_raw").mapInArrow(send_names, "bin long, part long, many boolean, keys binary")
+    names = texts.select("part", "_raw").mapInArrow(send_names, "bin long, keys binary, tags binary")
     flagged = names.groupBy("bin").applyInPandas(flag_names, "bin long, part long, keys binary")
     mail = letters(flagged, FLAGS, F.col("part"), F.col("bin"), None, None, F.col("keys")).unionByName(
         letters(copies, COPIES, F.pmod(F.xxhash64("_id"), F.lit(n_parts)), None, F.col("_id"), F.col("_hash"), None))
