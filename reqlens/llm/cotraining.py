@@ -61,9 +61,10 @@ def meta_view(df: DataFrame) -> DataFrame:
 
 def with_views(df: DataFrame) -> DataFrame:
     """``df`` with both feature vectors; words are weighed by the logarithm of their count."""
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 
     both = meta_view(text_view(df)).withColumn("_dense", array_to_vector("_layout"))
+    both = VectorSizeHint(inputCol="_dense", size=5).transform(both)  # an empty table has no first row to look at
     return VectorAssembler(inputCols=["_tf", "_dense"], outputCol="x_text").transform(both).drop("_tf", "_dense", "_layout")
 
 
