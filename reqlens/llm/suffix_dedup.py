@@ -91,6 +91,13 @@ def _grouped(bins: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.nda
         yield int(bins[order[a]]), values[order[a:b]]
 
 
+def stable_order(ranks: np.ndarray) -> np.ndarray:
+    """Stable order of ranks below 2**32, by their lower and then their upper 16 bits: numpy sorts those in linear time."""
+    order = np.argsort(ranks.astype(np.uint16), kind="stable")
+    upper = (ranks >> 16).astype(np.uint16)
+    return order[np.argsort(upper[order], kind="stable")] if len(upper) and upper.any() else order
+
+
 def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards' sorted suffixes and the starts of the intervals with ``rounds`` common symbols.
 
@@ -105,7 +112,7 @@ def merged_intervals(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -
         place = np.empty(len(source), np.int64)
         place[np.argsort(source, kind="stable")] = np.arange(len(source))
         before = symbols[place]
-        order = np.argsort(before, kind="stable")
+        order = stable_order(before)
         before, interval, source = before[order], interval[order], source[order]
         fresh = np.concatenate([[False], (before[1:] != before[:-1]) | (interval[1:] != interval[:-1])])
         interval = np.cumsum(fresh[: len(source)])
@@ -146,7 +153,7 @@ def least_owner(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH, s
         end = max(start + 1, int(np.searchsorted(ends, begins[start] + SHARD_BYTES, "right")))
         own = np.arange(begins[start], ends[end - 1])
         for ahead in range(length - step, -1, -step):
-            own = own[np.argsort(rank[base[own] + (here[own] + ahead) % size[own]], kind="stable")]
+            own = own[stable_order(rank[base[own] + (here[own] + ahead) % size[own]])]
         shards.append((own, before[own]))
         start = end
     suffixes, interval = merged_intervals(shards, length // step)
@@ -155,12 +162,12 @@ def least_owner(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH, s
     cuts = starts_of_runs(interval)
     verdict = np.zeros(len(text), np.int64)
     verdict[suffixes] = np.repeat(np.minimum.reduceat(owners[piece[suffixes]], cuts), np.diff([*cuts, len(suffixes)]))
-    out = []
-    for a, b in zip(begins, ends - length + 1, strict=True):
-        own = verdict[a:b]
-        cuts = starts_of_runs(own)
-        out.append(list(zip(np.diff([*cuts, len(own)]).tolist(), own[cuts].tolist(), strict=True)))
-    return out
+    whole = here + length <= size
+    own, of = verdict[whole], piece[whole]
+    cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])])) if len(own) else np.empty(0, np.int64)
+    runs = list(zip(np.diff(np.append(cuts, len(own))).tolist(), own[cuts].tolist(), strict=True))
+    at = np.searchsorted(of[cuts], np.arange(len(pieces) + 1)).tolist()
+    return [runs[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def bin_verdicts(pieces: list[bytes], names: np.ndarray, owners: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
