@@ -1,8 +1,11 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 Each view is a logistic regression: the text view on hashed words and on marks of layout in the text, the metadata
-view on language, source, length and their like. In each round both views score a pool of unlabelled documents; what
-one is sure of becomes a label for the other. At the end each view is calibrated on labelled documents that no fit
+view on language, source, length and their like. A word counts once a text and a text's words have length one, so that
+rare words of the fit's documents do not outweigh common ones. In each round both views score a pool of unlabelled
+documents; what one is sure of becomes a label for the other. Pseudo-labels of a round are weighed to the balance of
+the true labels, and a round in which a view is sure of one class only adds none, since it would teach just that class.
+At the end each view is calibrated on labelled documents that no fit
 has seen, and the documents' score is the combination of both calibrated views, fitted on the same documents.
 
 Fits are bounded: at most ``labelled`` labelled and ``pool`` unlabelled documents, the first ones in the order of a
@@ -17,7 +20,7 @@ Rows that share a doc_id share labels.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,8 @@ from reqlens.session import cut_lineage
 
 #: Most labelled and unlabelled documents of the fits, rounds, certainty of a pseudo-label, hashed dimensions.
 LABELLED, POOL, ROUNDS, SURE, TEXT_BITS, META_BITS = 6_000, 6_000, 2, 0.97, 13, 8
-#: One labelled document in HELD calibrates.
-HELD = 4
+#: One labelled document in HELD calibrates; penalty of the views' weights.
+HELD, STRENGTH = 4, 1e-4
 
 
 def _lines_and_marks(text: Column) -> Column:
@@ -42,12 +45,12 @@ def _lines_and_marks(text: Column) -> Column:
 
 
 def text_view(df: DataFrame) -> DataFrame:
-    """``df`` with x_text: hashed words with the layout numbers."""
+    """``df`` with the text's terms: which hashed words it has, and the layout numbers."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     plain = F.split(F.lower(text), r"[^\p{L}\p{N}!?|#%$&*]+")
     out = df.withColumn("_words", F.filter(plain, lambda w: w != "")).withColumn("_layout", _lines_and_marks(text))
-    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << TEXT_BITS).transform(out)
-    return hashed.drop("_words")
+    hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << TEXT_BITS, binary=True).transform(out)
+    return Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed).drop("_words", "_tf")
 
 
 def meta_view(df: DataFrame) -> DataFrame:
@@ -60,16 +63,26 @@ def meta_view(df: DataFrame) -> DataFrame:
 
 
 def with_views(df: DataFrame) -> DataFrame:
-    """``df`` with both feature vectors; words are weighed by the logarithm of their count."""
-    from pyspark.ml.feature import VectorAssembler, VectorSizeHint
-
+    """``df`` with both feature vectors."""
     both = meta_view(text_view(df)).withColumn("_dense", array_to_vector("_layout"))
     both = VectorSizeHint(inputCol="_dense", size=5).transform(both)  # an empty table has no first row to look at
-    return VectorAssembler(inputCols=["_tf", "_dense"], outputCol="x_text").transform(both).drop("_tf", "_dense", "_layout")
+    return VectorAssembler(inputCols=["_unit", "_dense"], outputCol="x_text").transform(both).drop("_unit", "_dense", "_layout")
 
 
 def _fit(rows: DataFrame, view: str, strength: float) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=15, regParam=strength, tol=1e-4).fit(rows)
+    """A logistic regression in the features' own scale: in that of their deviations, a word of one text weighs most."""
+    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=30, regParam=strength, standardization=False, tol=1e-4).fit(rows)
+
+
+def _pseudo(scored: DataFrame, sure: float, balance: dict[float, float]) -> DataFrame:
+    """Rows of ``scored`` (with p) that it is sure of, labelled, at half weight and in the balance of the true labels."""
+    certain = scored.where(F.greatest("p", 1 - F.col("p")) >= sure).withColumn("y", (F.col("p") > 0.5).cast("double"))
+    counts = {r.y: r.n for r in certain.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return certain.where("false").withColumn("w", F.lit(0.5)).drop("_m", "p")
+    share = {y: n / sum(counts.values()) for y, n in counts.items()}
+    weigh = {y: 0.5 * balance[y] / share[y] for y in share}
+    return certain.withColumn("w", F.when(F.col("y") > 0.5, weigh[1.0]).otherwise(weigh[0.0])).drop("_m", "p")
 
 
 def _margin(model: LogisticRegressionModel, rows: DataFrame, view: str, out: str) -> DataFrame:
@@ -130,13 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         learn = held = seen
     free = rows.where("y is null").drop("y")
     one = F.lit(1.0)
-    text, meta = _fit(learn.withColumn("w", one), "x_text", 1e-3), _fit(learn.withColumn("w", one), "x_meta", 1e-3)
+    counts = {r.y: r.n for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    balance = {y: n / sum(counts.values()) for y, n in counts.items()}
+    text, meta = _fit(learn.withColumn("w", one), "x_text", STRENGTH), _fit(learn.withColumn("w", one), "x_meta", STRENGTH)
     for _ in range(rounds):
         by_text = _margin(text, free, "x_text", "_m").withColumn("p", 1 / (1 + F.exp(-F.col("_m"))))
         by_meta = _margin(meta, free, "x_meta", "_m").withColumn("p", 1 / (1 + F.exp(-F.col("_m"))))
         base = learn.withColumn("w", one)
-        pseudo = lambda scored: scored.where(F.greatest("p", 1 - F.col("p")) >= sure).withColumn("y", (F.col("p") > 0.5).cast("double")).withColumn("w", F.lit(0.5)).drop("_m", "p")
-        text, meta = _fit(base.unionByName(pseudo(by_meta)), "x_text", 1e-3), _fit(base.unionByName(pseudo(by_text)), "x_meta", 1e-3)
+        text, meta = _fit(base.unionByName(_pseudo(by_meta, sure, balance)), "x_text", STRENGTH), _fit(base.unionByName(_pseudo(by_text, sure, balance)), "x_meta", STRENGTH)
     margins = _margin(meta, _margin(text, held, "x_text", "_a"), "x_meta", "_b").select("y", "_a", "_b")
     a, b = _platt(margins, ["_a"]), _platt(margins, ["_b"])
     calibrated = margins.select("y", (a[0] + a[1] * F.col("_a")).alias("_a"), (b[0] + b[1] * F.col("_b")).alias("_b"))
@@ -146,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
 
 
 def classify(
-    df: DataFrame, labels: DataFrame, threshold: float = 0.3, doc: str = "doc_id", text: str = "text", lang: str = "lang",
+    df: DataFrame, labels: DataFrame, threshold: float = 0.5, doc: str = "doc_id", text: str = "text", lang: str = "lang",
     source: str = "source", **bounds,
 ) -> DataFrame:
     """(doc_id, p_text, p_meta, score, kept) of every row: kept if the score reaches the threshold."""
