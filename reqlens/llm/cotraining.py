@@ -33,6 +33,8 @@ from reqlens.session import cut_lineage
 LABELLED, POOL, ROUNDS, SURE, TEXT_BITS, META_BITS = 6_000, 6_000, 2, 0.97, 13, 8
 #: One labelled document in HELD calibrates; penalty of the views' weights.
 HELD, STRENGTH = 4, 1e-4
+#: Partitions of a fit's rows, which LABELLED and POOL bound: so few need no shuffle of gradients in an iteration.
+FIT_PARTS = 4
 
 
 def _lines_and_marks(text: Column) -> Column:
@@ -71,7 +73,7 @@ def with_views(df: DataFrame) -> DataFrame:
 
 def _fit(rows: DataFrame, view: str, strength: float) -> LogisticRegressionModel:
     """A logistic regression in the features' own scale: in that of their deviations, a word of one text weighs most."""
-    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=30, regParam=strength, standardization=False, tol=1e-4).fit(rows)
+    return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=30, regParam=strength, standardization=False, tol=1e-4).fit(rows.coalesce(FIT_PARTS))
 
 
 def _pseudo(scored: DataFrame, sure: float, balance: dict[float, float]) -> DataFrame:
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     ids = cut_lineage(ids, "ids")
     some = ids.where("y is not null").orderBy("_key", "_id").limit(labelled).unionByName(ids.where("y is null").orderBy("_key", "_id").limit(pool))
     rows = docs.join(F.broadcast(cut_lineage(some, "chosen")), "_id").dropDuplicates(["_id"])
-    rows = cut_lineage(with_views(rows).drop("_text"), "views").repartition(4, "_id").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut_lineage(with_views(rows).drop("_text"), "views").coalesce(FIT_PARTS).persist(StorageLevel.MEMORY_AND_DISK)
     seen = rows.where("y is not null")
     classes = [r.y for r in seen.groupBy("y").agg(F.count(F.lit(1))).collect()]
     if len(classes) < 2:
