@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqlens.llm import bpe, cotraining, embedding_dedup, minhash_dedup, mixing, outliers, preference, sentence_dedup, sharding, suffix_dedup
-from reqlens.llm.common import table, text_or_empty
+from reqlens.functions.binding import let
+from reqlens.llm import bpe, collocations, cotraining, embedding_dedup, minhash_dedup, mixing, outliers, periodic_runs, preference, sentence_dedup, sharding
+from reqlens.llm import suffix_dedup, token_counts
+from reqlens.llm.common import WORD, table, text_or_empty
 
 
-def vocabulary() -> str:
-    """Place of the vocabulary file the queries use."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a vocabulary file the queries use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 #: Target weights of the mixing query; keys not named have weight 1.
@@ -116,6 +118,71 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 1024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs.withColumn("n_bytes", F.octet_length(text_or_empty("text")).cast("long")), vocabulary("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """The texts; with the number's checksum divisible by ten, the words from some word on repeat with some period.
+
+    A document without a number keeps its text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def periodic(words):
+        n = F.size(words)
+        return let((g % n).cast("int"), lambda a: let(
+            (1 + F.floor((n - a) / (3 + g % 8))).cast("int"),
+            lambda p: F.concat(F.slice(words, F.lit(1), a), F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(words, a + i % p)))))
+
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    planted = let(words, lambda ws: F.when(F.size(ws) > 0, F.array_join(periodic(ws), " ")))
+    return docs.withColumn("text", F.when(F.coalesce(h % 10 == 0, F.lit(False)), planted).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the longest one, and digests of all runs and of the text without repeats."""
+    docs = with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_l", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_l.s")).alias("start"), F.col("_l.length").alias("length"), (-F.col("_l.p")).alias("period"),
+        F.expr("1000 * _l.length div -_l.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_COLLOCATIONS = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?
+-]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS ws FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+grams AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k FROM starts, range(1, 6) r(k) WHERE i + k - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_nodes AS (SELECT DISTINCT x.lang, x.phrase FROM f x JOIN f y ON x.lang = y.lang AND y.k > x.k AND y.c >= x.c
+  AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') WHERE x.k > 1),
+cuts AS (SELECT lang, phrase, c AS a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS p, array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS q
+  FROM f, range(1, 5) t(cut) WHERE cut < k AND NOT EXISTS (SELECT 1 FROM inner_nodes s WHERE s.lang = f.lang AND s.phrase = f.phrase)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, l.c AS l, r.c AS r, n, CAST((1000::HUGEINT * a * n) // (l.c::HUGEINT * r.c) AS BIGINT) AS score, cut FROM cuts
+  JOIN f l ON l.lang = cuts.lang AND l.phrase = p JOIN f r ON r.lang = cuts.lang AND r.phrase = q JOIN sizes ON sizes.lang = cuts.lang),
+lowest AS (SELECT * EXCLUDE (cut) FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest
+QUALIFY rank <= 2000"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mixing": op1_hierarchical_mixing,
     "op2_subspace_pigeonhole": op2_subspace_pigeonhole,
@@ -127,8 +194,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotrained_quality": op8_cotrained_quality,
     "op9_segment_tree_bpe": op9_segment_tree_bpe,
     "op10_sentence_spans": op10_sentence_spans,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_collocations": OP13_COLLOCATIONS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
