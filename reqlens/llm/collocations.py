@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import renamed, small_batches
+from reqlens.llm.common import hash_bitmap, in_bitmap, renamed, small_batches
 from reqlens.session import cut_lineage
 
 #: Bytes that end a piece, and the blanks between words.
@@ -35,8 +35,8 @@ END = b"\xff"
 FOLD = bytes.maketrans(
     bytes(range(ord("A"), ord("Z") + 1)) + MARKS + BLANKS, bytes(range(ord("a"), ord("z") + 1)) + END * len(MARKS) + b" " * len(BLANKS)
 )
-#: Bits of the map of frequent pairs; words a worker remembers; hashes it holds before it counts them.
-MAP_BITS, KNOWN_WORDS, HELD = 1 << 26, 1_000_000, 4_000_000
+#: Words a worker remembers; hashes it holds before it counts them.
+KNOWN_WORDS, HELD = 1_000_000, 4_000_000
 #: Parts in which a language's best phrases are found before they are put in one order.
 PARTS = 16
 
@@ -120,16 +120,9 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
 
 
 def _bitmap(pairs: DataFrame, least: int) -> np.ndarray:
-    """Bits of the frequent pairs' hashes; at most MAP_BITS / 64 rows come to the driver."""
-    bit = F.col("h").bitwiseAND(F.lit(MAP_BITS - 1))
-    words = (
-        pairs.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        .groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & {63} as int))")).alias("bits"))
-    )
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    found = words.toArrow()
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    return out
+    """Map of the frequent pairs' hashes."""
+    counted = pairs.where(F.col("h").isNotNull()).groupBy("h").agg(F.sum("c").alias("c"))
+    return hash_bitmap(counted.where(F.col("c") >= least))
 
 
 def _edges(rows: DataFrame, bitmap: np.ndarray, longest: int) -> DataFrame:
@@ -141,8 +134,7 @@ def _edges(rows: DataFrame, bitmap: np.ndarray, longest: int) -> DataFrame:
         for lang, texts in _by_language(batches):
             ids = known.numbers(texts)
             h, inside = pair_hashes(ids, known, lang)
-            bit = h & np.uint64(MAP_BITS - 1)
-            linked = inside & ((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)).astype(np.int64)) & 1 > 0)
+            linked = inside & in_bitmap(bits, h)
             at = np.flatnonzero(ids)
             open_ = np.ones(len(at), bool)
             padded = np.concatenate([linked, np.zeros(longest, bool)])

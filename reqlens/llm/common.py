@@ -13,6 +13,8 @@ from reqlens.session import cut_lineage, prepare
 
 #: A word of the word-shingle and quality operators: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a map of hashes, at every size of the input.
+MAP_BITS = 1 << 26
 #: Bytes of rows that go to or come from a Python worker at once.
 BATCH_BYTES = 4 << 20
 
@@ -107,3 +109,24 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     for k in keys:
         condition = condition & left[k].eqNullSafe(other[f"_same_{k}"])
     return left.join(other, condition, how).drop(*[f"_same_{k}" for k in keys])
+
+
+def hash_bitmap(df: DataFrame, column: str = "h") -> np.ndarray:
+    """Bits of the hashes in a column, in 64-bit words; at most MAP_BITS / 64 rows come to the driver.
+
+    The map's size is fixed: with very many hashes it lets more and more through, so it may only spare work whose
+    result does not depend on it.
+    """
+    bit = F.col(column).bitwiseAND(F.lit(MAP_BITS - 1))
+    found = (
+        df.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")).alias("bits")).toArrow()
+    )
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of the map."""
+    bit = hashes.view(np.int64) & (MAP_BITS - 1)
+    return (bits[bit >> 6] >> (bit & 63)) & 1 > 0

@@ -113,8 +113,8 @@ def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without repeated runs of three sentences."""
-    left = sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    """What is left of every document without the runs of sentences that a document before it has."""
+    left = sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), span=2, least_words=16, within=False)
     return left.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -166,7 +166,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_COLLOCATIONS = r"""WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 words AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS ws FROM pieces),
 sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang),
 starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from reqlens.llm import collocations, queries
+from reqlens.llm import collocations, common, queries
 
 
 def brute(docs, least, longest, top):
@@ -55,7 +55,7 @@ def test_full_bitmap_changes_nothing(spark, monkeypatch):
     """A map in which every pair hits keeps the edges whole; counts are the same."""
     docs = [("en", "one two three. four five " * 3 + "six"), ("en", "two three four")] * 2
     df = spark.createDataFrame(docs, "lang string, text string")
-    monkeypatch.setattr(collocations, "_bitmap", lambda pairs, least: np.full(collocations.MAP_BITS // 64, -1))
+    monkeypatch.setattr(collocations, "_bitmap", lambda pairs, least: np.full(common.MAP_BITS // 64, -1))
     assert sorted(tuple(x) for x in collocations.collocations(df, 4, 5, 50).collect()) == brute(docs, 4, 5, 50)
 
 
