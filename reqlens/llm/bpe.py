@@ -11,7 +11,8 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -90,12 +91,12 @@ def merge_word(ids: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
 
 
 class Words(dict):
-    """Ids of the words met, each merged once; bounded, very long words are not kept."""
+    """What the words met are coded to, each merged once; bounded, very long words are not kept."""
 
     def __init__(self, coded) -> None:
         self.coded = coded
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str):
         found = self.coded(word)
         if len(word) < 40:
             if len(self) >= 300_000:
@@ -134,6 +135,7 @@ class WordBpe:
             self.ranks[vocab[a] << PAIR | vocab[b]] = (rank, vocab[a + b])
         self.tokens = token_strings(rules)
         self.known = Words(self.word)
+        self.shown = Words(lambda word: " ".join(self.tokens[i] for i in self.known[word]))
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one word: its bytes' characters, the last one with the word end, merged."""
@@ -160,42 +162,82 @@ class WordBpe:
                 out.extend(chain.from_iterable(map(self.known.__getitem__, self.split(piece))))
         return iter(out)
 
+    def round_trip(self, text: str | None) -> tuple[Iterable[int], str]:
+        """Ids of a text, and the text they stand for."""
+        if not text:
+            return (), ""
+        if self.special is not None and self.special.search(text):
+            ids = list(self.encode(text))
+            return ids, " ".join(self.tokens[i] for i in ids)
+        words = self.split(text)
+        return chain.from_iterable(map(self.known.__getitem__, words)), " ".join(filter(None, map(self.shown.__getitem__, words)))
+
+
+@lru_cache(maxsize=2)
+def rules_of(text: str) -> WordBpe:
+    """Rules of a vocabulary file and the words met; a worker process keeps them from task to task."""
+    gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
+    return WordBpe(text)
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, make, by: str | None = None) -> DataFrame:
-    """``df`` with one more column, computed from small Arrow batches by the function that ``make`` returns."""
-    kept = [c for c in df.columns if c != name]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
+
+def _with_columns(df: DataFrame, kinds: dict[str, T.DataType], make, by: str | None = None) -> DataFrame:
+    """``df`` with more columns, computed from small Arrow batches by the function that ``make`` returns."""
+    kept = [c for c in df.columns if c not in kinds]
+    schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(k, v) for k, v in kinds.items()]])
 
     def run(batches):
-        gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
         work = make()
         for whole in batches:
             for batch in small_batches(whole, by) if by else [whole]:
-                cols = [batch.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*cols, work(batch)], names=[*kept, name])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names=[*kept, *kinds])
 
     return df.mapInArrow(run, schema)
 
 
+def _lists(flat: array, ends: array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the ids of each whole text; ``vocabulary`` is the path of a tokenizers file on the driver."""
     with open(vocabulary, encoding="utf-8") as f:
         rules = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        bpe = WordBpe(rules.value)
+        bpe = rules_of(rules.value)
+
+        def work(batch):
+            flat, ends = array("i"), array("i", [0])
+            for t in batch.column(text).to_pylist():
+                flat.extend(bpe.encode(t))
+                ends.append(len(flat))
+            return [_lists(flat, ends)]
+
+        return work
+
+    return _with_columns(df, {out: T.ArrayType(T.IntegerType())}, make, text)
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of each whole text and the text they decode to, in one pass over the words."""
+    with open(vocabulary, encoding="utf-8") as f:
+        rules = df.sparkSession.sparkContext.broadcast(f.read())
+
+    def make():
+        bpe = rules_of(rules.value)
 
         def work(batch):
-            flat = array("i")
-            ends = array("i", [0])
-            for t in batch.column(text):
-                flat.extend(bpe.encode(t.as_py()))
+            flat, ends, back = array("i"), array("i", [0]), []
+            for t in batch.column(text).to_pylist():
+                coded, shown = bpe.round_trip(t)
+                flat.extend(coded)
                 ends.append(len(flat))
-            return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)))
+                back.append(shown)
+            return [_lists(flat, ends), pa.array(back, pa.string())]
 
         return work
 
-    return _with_column(df, out, T.ArrayType(T.IntegerType()), make, text)
+    return _with_columns(df, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, make, text)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -220,8 +262,8 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
                 rows, shown = rows.filter(shown.is_valid()), shown.drop_null()
             ends = np.concatenate([[0], np.cumsum(np.bincount(rows.to_numpy(), minlength=len(lists)))])
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), shown), pa.scalar(" ", pa.large_string()))
-            return joined.cast(pa.string())
+            return [joined.cast(pa.string())]
 
         return work
 
-    return _with_column(df, out, T.StringType(), make)
+    return _with_columns(df, {out: T.StringType()}, make)

@@ -105,11 +105,9 @@ def op8_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text they stand for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, vocabulary()).select("doc_id", "ids")
+    coded = bpe.round_trip(docs, vocabulary())
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    digests = coded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(ids, 256))
-    back = bpe.decode(digests, vocabulary())
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

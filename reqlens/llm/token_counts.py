@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,12 @@ class Counter:
         return out
 
 
+@lru_cache(maxsize=2)
+def counter_of(text: str) -> Counter:
+    """The counter of a vocabulary file; a worker process keeps it from task to task."""
+    return Counter(text)
+
+
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of each whole text; ``vocabulary`` is the path of the file on the driver.
 
@@ -157,7 +164,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", out: str =
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.LongType())])
 
     def run(batches):
-        counter = Counter(rules.value)
+        counter = counter_of(rules.value)
         for whole in batches:
             for batch in small_batches(whole, text):
                 found = counter.counts(batch.column(text).to_pylist())
