@@ -102,6 +102,11 @@ def identity(doc: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc).cast("long"), made)
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells the texts of rows that share a number, or have none, apart."""
+    return F.xxhash64(F.col(text), F.octet_length(text))
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, where null equals null; the keys of the left side stay."""
     other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from reqlens.llm.common import renamed
+from reqlens.llm.common import identity, renamed, text_key
 from reqlens.session import cut_lineage
 
 #: Most labelled and unlabelled documents of the fits, rounds, certainty of a pseudo-label, hashed dimensions.
@@ -165,11 +165,9 @@ def classify(
     df: DataFrame, labels: DataFrame, threshold: float = 0.5, doc: str = "doc_id", text: str = "text", lang: str = "lang",
     source: str = "source", **bounds,
 ) -> DataFrame:
-    """(doc_id, p_text, p_meta, score, kept) of every row: kept if the score reaches the threshold."""
-    from reqlens.llm.common import identity
-
+    """(doc_id, p_text, p_meta, score, kept, text_key) of every row: kept if the score reaches the threshold."""
     rows = renamed(df, {doc: "_doc", text: "_text", lang: "_lang", source: "_source"})
     rows = rows.withColumn("_id", identity("_doc", "_text")).withColumn("_chars", F.length("_text"))
     model = fit(rows.drop("_doc"), labels, **bounds)
-    scored = model.score(with_views(rows))
-    return scored.select(F.col("_doc").alias("doc_id"), "p_text", "p_meta", "score", (F.col("score") >= threshold).alias("kept"))
+    scored = model.score(with_views(rows.withColumn("_key", text_key("_text"))))
+    return scored.select(F.col("_doc").alias("doc_id"), "p_text", "p_meta", "score", (F.col("score") >= threshold).alias("kept"), F.col("_key").alias("text_key"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import WORD, identity, renamed
+from reqlens.llm.common import WORD, identity, renamed, text_key
 from reqlens.llm.components import components, forest
 from reqlens.session import cut_lineage
 
@@ -231,7 +231,7 @@ def near_duplicates(
     df: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY,
     bands: int = BANDS, places: int = PLACES,
 ) -> DataFrame:
-    """(doc_id, component_id, kept) for every row: its group's smallest document, and whether that is it."""
+    """(doc_id, component_id, kept, text_key) for every row: its group's smallest document, and whether that is it."""
     rows = renamed(df, {doc: "_doc", text: "_text"}).withColumn("_id", identity("_doc", "_text"))
     signed = cut_lineage(signatures(rows, bands, places, shingle), "signatures")
     copies = signed.where("words is not null").groupBy("words").agg(F.min("_id").alias("rep"))
@@ -263,8 +263,8 @@ def near_duplicates(
     crowd = open_members.join(mixed_up.where("crowded"), "band").select("_id", "band", "group", "chunks")
     late = late.unionByName(_crowd_links(crowd, texts, shingle, similarity))
     final = components(links.unionByName(late))
-    rep = rows.select("_doc", "_id").join(member, "_id", "left").withColumn("_rep", F.coalesce("rep", "_id"))
+    rep = rows.select("_doc", "_id", text_key("_text").alias("text_key")).join(member, "_id", "left").withColumn("_rep", F.coalesce("rep", "_id"))
     named = rep.join(final, rep["_rep"] == final["node"], "left")
     group = F.coalesce("component", "_rep")
     return named.select(
-        F.col("_doc").alias("doc_id"), group.alias("component_id"), (F.col("_id") == group).alias("kept"))
+        F.col("_doc").alias("doc_id"), group.alias("component_id"), (F.col("_id") == group).alias("kept"), "text_key")

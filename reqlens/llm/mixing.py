@@ -10,8 +10,9 @@ pass, whose order is the digest of seed, epoch and document. The prefix is found
 finer ranges in the range of the cut; only documents of the last range are put in order.
 
 Null keys are values of their own. Null and empty texts have no tokens and are never taken. Children of weight 0 get
-nothing. A leaf without tokens gets nothing. Rows that share a doc_id and text are taken in any order. An empty table
-gives no rows.
+nothing. A leaf without tokens gets nothing. Rows that share a doc_id are ordered by a hash of their texts and taken
+each by its own plan; rows with the same text too are alike, so it does not matter which of them is cut. A null doc_id
+is a number like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import WORD, identity, join_same, renamed
+from reqlens.llm.common import WORD, identity, join_same, renamed, text_key
 from reqlens.session import cut_lineage
 
 #: Hexadecimal digits of a digest range at each level.
@@ -86,13 +87,13 @@ def mix(
     df: DataFrame, weights: dict[str, dict[str, int]], percent: int, epochs: int = 2, seed: int = 1,
     doc: str = "doc_id", text: str = "text", keys: dict[str, str] | None = None,
 ) -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens, epochs, part_tokens) of every row.
+    """(doc_id, text_key, domain, lang, source, n_tokens, epochs, part_tokens) of every row.
 
     A row is taken whole ``epochs`` times and once more with its first ``part_tokens`` tokens.
     """
     keys = keys or {k: k for k in LEVEL_NAMES}
     rows = renamed(df, {doc: "_doc", text: "_text", **{v: k for k, v in keys.items()}})
-    rows = rows.select("_doc", identity("_doc", "_text").alias("_id"), *LEVEL_NAMES, word_tokens(F.col("_text")).alias("n_tokens"))
+    rows = rows.select("_doc", identity("_doc", "_text").alias("_id"), text_key("_text").alias("text_key"), *LEVEL_NAMES, word_tokens(F.col("_text")).alias("n_tokens"))
     rows = cut_lineage(rows, "tokens")
     leaves = rows.groupBy(*LEVEL_NAMES).agg(F.sum("n_tokens").alias("tokens"))
     leaves = cut_lineage(leaves, "leaves")
@@ -109,7 +110,7 @@ def mix(
         dealt = dealt.withColumn(name, F.substring("_digest", 1 + k * DIGITS, DIGITS))
     dealt = cut_lineage(dealt, "dealt")
     open_rows, done = dealt, None
-    columns = ["_doc", *LEVEL_NAMES, "n_tokens", "epochs"]
+    columns = ["_doc", "text_key", *LEVEL_NAMES, "n_tokens", "epochs"]
     for k in range(LEVELS):
         at = ["leaf", *names[:k]]
         sums = open_rows.groupBy(*at, names[k]).agg(F.sum("n_tokens").alias("_sum"), F.first("rest").alias("_rest"))
@@ -121,7 +122,7 @@ def mix(
         settled = judged.where("_verdict <> 1").select(*columns, F.when(F.col("_verdict") == 2, F.col("n_tokens")).otherwise(0).alias("part_tokens"))
         done = settled if done is None else done.unionByName(settled)
         open_rows = judged.where("_verdict = 1").withColumn("rest", F.col("_next")).drop("_verdict", "_next")
-    last = Window.partitionBy("leaf", *names).orderBy("_digest", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy("leaf", *names).orderBy("_digest", "_id", "text_key").rowsBetween(Window.unboundedPreceding, 0)
     before = F.sum("n_tokens").over(last) - F.col("n_tokens")
     part = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - before))
     done = done.unionByName(open_rows.withColumn("part_tokens", part).select(*columns, "part_tokens"))
@@ -133,12 +134,25 @@ def prefix_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, n.cast("int")), "")
 
 
-def taken_rows(df: DataFrame, plan: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The mixed rows of ``df``: a row for each epoch that takes it, the last one cut to its prefix."""
-    chosen = plan.where("epochs + part_tokens > 0 and n_tokens > 0").select(F.col("doc_id").alias("_plan"), "n_tokens", "epochs", "part_tokens").dropDuplicates(["_plan"])
-    joined = df.join(chosen.withColumnsRenamed({"n_tokens": "_n", "epochs": "_e", "part_tokens": "_p"}), F.col(doc) == F.col("_plan"))
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("_e").cast("int"))
-    last = F.when(F.col("_p") == 0, F.array().cast("array<bigint>")).when(F.col("_p") == F.col("_n"), F.array(F.lit(-1).cast("long"))).otherwise(F.array("_p"))
-    out = joined.withColumn("_take", F.explode(F.concat(whole, last)))
-    cut = F.when(F.col("_take") < 0, F.col(text)).otherwise(prefix_words(F.col(text), F.col("_take")))
-    return out.withColumn(text, cut).select(df.columns)
+def taken_rows(df: DataFrame, plan: DataFrame, doc: str = "doc_id", text: str = "text", keys: dict[str, str] | None = None) -> DataFrame:
+    """The mixed rows of ``df``: a row for each epoch that takes it, the last one cut to its prefix.
+
+    Plans and rows meet by number, text and the leaf's columns that ``df`` has, null equal to null. Of rows alike in
+    these one stands for all, with as many copies as they are taken together; at most one of them is cut.
+    """
+    keys = keys or {k: k for k in LEVEL_NAMES}
+    leaf = [k for k in LEVEL_NAMES if keys[k] in df.columns]
+    took = plan.where("n_tokens > 0")
+    cut = (F.col("part_tokens") > 0) & (F.col("part_tokens") < F.col("n_tokens"))
+    took = took.groupBy(F.col("doc_id").alias("_k_doc"), F.col("text_key").alias("_k_text"), *[F.col(k).alias(f"_k_{k}") for k in leaf]).agg(
+        F.count(F.lit(1)).alias("_copies"), F.sum(F.col("epochs") + F.when(F.col("part_tokens") == F.col("n_tokens"), 1).otherwise(0)).alias("_whole"),
+        F.max(F.when(cut, F.col("part_tokens"))).alias("_cut")).where("_whole > 0 or _cut is not null")
+    names = ["_k_doc", "_k_text", *[f"_k_{k}" for k in leaf]]
+    own = df.withColumns({"_k_doc": F.col(doc), "_k_text": text_key(text), **{f"_k_{k}": F.col(keys[k]) for k in leaf}})
+    joined = join_same(own, took, names)
+    one = joined.where("_copies = 1").unionByName(joined.where("_copies > 1").dropDuplicates(names))
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("_whole").cast("int"))
+    last = F.when(F.col("_cut").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("_cut"))
+    out = one.withColumn("_take", F.explode(F.concat(whole, last)))
+    shown = F.when(F.col("_take") < 0, F.col(text)).otherwise(prefix_words(F.col(text), F.col("_take")))
+    return out.withColumn(text, shown).select(df.columns)
