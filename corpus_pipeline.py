@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.llm import bpe, cotraining, minhash_dedup, mixing, suffix_dedup
-from reqlens.llm.common import join_same, table
+from reqlens.llm.common import join_same, table, text_key
 from reqlens.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, vocabulary, with_domain
 from reqlens.session import cut_lineage
 
-#: SQL cannot express a trained classifier; the stages are tested against brute force one by one instead.
+#: SQL cannot express a trained classifier; the stages are tested against brute force instead, in tests/llm.
 ORACLE_SQL = None
 #: Columns of documents, which every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,37 +18,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 PERCENT = 100
 
 
+def _judged(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows whose number and text got a good verdict; rows without a number are told apart by their texts."""
+    good = verdicts.where("kept").select("doc_id", "text_key").distinct()
+    return join_same(docs.withColumn("text_key", text_key()), good, ["doc_id", "text_key"], "left_semi").select(COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject; a number is kept if any of its rows is."""
-    scored = cotraining.classify(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return join_same(docs, scored, ["doc_id"], "left_semi").select(COLUMNS)
+    """Documents that the co-trained classifier does not reject.
+
+    Every row is judged by its own text; null and empty texts are judged by their metadata. Repeated rows share
+    their verdict. Without labels, or with labels of one class, all rows get that class. Extra columns go.
+    """
+    return _judged(docs, cotraining.classify(docs, table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    groups = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return join_same(docs, groups, ["doc_id"], "left_semi").select(COLUMNS)
+    """One document of each group of near duplicates, that with the smallest number.
+
+    Rows that share a number are one document. Rows without a number are documents before all others, known by their
+    texts. Texts without words are like no other and stay. Extra columns go.
+    """
+    return _judged(docs, minhash_dedup.near_duplicates(docs))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that a document before them has; a character that was cut in two goes too."""
+    """Documents without the byte strings that a document before them has; a character that was cut in two goes too.
+
+    All rows stay, a text that is all repeated as an empty one; null texts come out empty. Extra columns go.
+    """
     cut = suffix_dedup.repeated_bytes(docs, carry=["lang", "source"])
     text = suffix_dedup.whole_characters("kept").alias("text")
     return cut.select("doc_id", text, "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the target weights take: a row for each epoch, the last one of a leaf cut to its tokens."""
+    """The rows that the target weights take: a row for each epoch, the last one of a leaf cut to its tokens.
+
+    Texts without words are not taken. Null languages and sources are leaves of their own; rows that share a number, or
+    have none, are taken each by its own text. Extra columns go.
+    """
     plan = mixing.mix(with_domain(docs), MIX_WEIGHTS, PERCENT, MIX_EPOCHS, MIX_SEED)
     taken = mixing.taken_rows(docs, plan)
     return taken.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row's text, and a digest of the text they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary()).drop("text")
-    back = bpe.decode(coded, vocabulary())
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Ids of every row's text, and a digest of the text they decode to; null and empty texts have no ids."""
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary())
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("repeated_strings", repeated_strings), ("mixture", mixture), ("encoding", encoding)]
