@@ -26,6 +26,10 @@ from reqlens.llm.common import small_batches
 
 #: Rank of a leaf whose pair cannot be merged, and bits of an id in a pair.
 NO_MERGE, PAIR = 1 << 62, 24
+#: Symbols up to which words of a batch are merged side by side; bits of a place in their leaves.
+SHORT, PLACE = 64, 8
+#: Words a worker remembers, and the characters up to which one is remembered.
+KNOWN_WORDS, KNOWN_CHARS = 400_000, 40
 
 
 def byte_characters() -> list[str]:
@@ -90,19 +94,59 @@ def merge_word(ids: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-class Words(dict):
-    """What the words met are coded to, each merged once; bounded, very long words are not kept."""
-
-    def __init__(self, coded) -> None:
-        self.coded = coded
-
-    def __missing__(self, word: str):
-        found = self.coded(word)
-        if len(word) < 40:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = found
-        return found
+class Forest:
+    """The same trees for many short words at once, a row each, with the merges as sorted arrays."""
+
+    def __init__(self, ranks: dict[int, tuple[int, int]]) -> None:
+        pairs = np.array(list(ranks), np.int64)
+        order = np.argsort(pairs)
+        self.pairs = pairs[order]
+        self.rank = np.array([r for r, _ in ranks.values()], np.int64)[order]
+        self.merged = np.zeros(int(self.rank.max(initial=-1)) + 1, np.int32)
+        self.merged[self.rank] = np.array([m for _, m in ranks.values()], np.int64)[order]
+
+    def keys(self, a: np.ndarray, b: np.ndarray, place) -> np.ndarray:
+        """What the leaves hold: rank and place of a pair."""
+        if not len(self.pairs):
+            return np.full(np.broadcast(a, b).shape, NO_MERGE)
+        pair = a.astype(np.int64) << PAIR | b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((a >= 0) & (b >= 0) & (self.pairs[at] == pair), self.rank[at] << PLACE | place, NO_MERGE)
+
+    def merge(self, ids: np.ndarray) -> np.ndarray:
+        """Merge words of the same number of leaves, padded with -1; what is merged away becomes -1."""
+        size = ids.shape[1]
+        wide = np.full((len(ids), size + 1), -1, np.int32)
+        wide[:, :size] = ids
+        tree = np.full((len(ids), 2 * size), NO_MERGE)
+        tree[:, size:] = self.keys(ids, wide[:, 1:], np.arange(size))
+        level = size // 2
+        while level:
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+            level //= 2
+        after = np.tile(np.arange(1, size + 2, dtype=np.int16), (len(ids), 1))
+        after[:, size] = size
+        before = np.tile(np.arange(-1, size, dtype=np.int16), (len(ids), 1))
+        rows = np.arange(len(ids))
+        while len(rows := rows[tree[rows, 1] < NO_MERGE]):
+            least = tree[rows, 1]
+            i = least & ((1 << PLACE) - 1)
+            j = after[rows, i].astype(np.int64)
+            k = after[rows, j].astype(np.int64)
+            wide[rows, i], wide[rows, j] = self.merged[least >> PLACE], -1
+            after[rows, i], before[rows, k] = k, i
+            h = before[rows, i].astype(np.int64)
+            # Leaves that change: the merged-away part's, the pair's own, its left neighbour's.
+            has = h >= 0
+            where = np.concatenate([rows, rows, rows[has]])
+            leaf = np.concatenate([j, i, h[has]])
+            right = np.concatenate([np.full(len(rows), size), k, i[has]])
+            tree[where, size + leaf] = self.keys(wide[where, leaf], wide[where, right], leaf)
+            node = (size + leaf) // 2
+            while node[0]:
+                tree[where, node] = np.minimum(tree[where, 2 * node], tree[where, 2 * node + 1])
+                node //= 2
+        return wide[:, :size]
 
 
 def token_strings(rules: dict) -> dict[int, str]:
@@ -113,7 +157,8 @@ def token_strings(rules: dict) -> dict[int, str]:
 class WordBpe:
     """The rules of one vocabulary file: special tokens, normal form, word pattern, merges.
 
-    Covers files of lower-cased byte-level words with a word end; words met before are looked up.
+    Covers files of lower-cased byte-level words with a word end; words met before are looked up, the new words of a
+    batch are merged side by side.
     """
 
     def __init__(self, text: str) -> None:
@@ -134,14 +179,42 @@ class WordBpe:
         for rank, (a, b) in enumerate(pairs):
             self.ranks[vocab[a] << PAIR | vocab[b]] = (rank, vocab[a + b])
         self.tokens = token_strings(rules)
-        self.known = Words(self.word)
-        self.shown = Words(lambda word: " ".join(self.tokens[i] for i in self.known[word]))
-
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of one word: its bytes' characters, the last one with the word end, merged."""
-        shown = [self.characters[b] for b in word.encode("utf-8", "surrogatepass")]
-        shown[-1] += self.end
-        return tuple(merge_word([self.vocab[c] for c in shown if c in self.vocab], self.ranks))
+        self.forest = Forest(self.ranks)
+        inner = [vocab.get(c, -1) for c in self.characters]
+        last = [vocab.get(c + self.end, -1) for c in self.characters]
+        self.symbols = np.array([inner, last], np.int32)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.shown: dict[str, str] = {}
+
+    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of words, none of them empty: their bytes' characters, the last one with the word end, merged."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(size)
+        place = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        place[ends - 1] = 1
+        flat = self.symbols[place, np.frombuffer(b"".join(raw), np.uint8)]
+        if (flat < 0).any():  # symbols that the vocabulary lacks are left out
+            size = np.add.reduceat(flat >= 0, ends - size)
+            flat, ends = flat[flat >= 0], np.cumsum(size)
+        out: list[tuple[int, ...]] = [()] * len(raw)
+        width = np.left_shift(1, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64))
+        for leaves in np.unique(width).tolist():
+            here = np.flatnonzero(width == leaves)
+            start = (ends - size)[here]
+            if leaves > SHORT:
+                for k, a in zip(here.tolist(), start.tolist(), strict=True):
+                    out[k] = tuple(merge_word(flat[a : ends[k]].tolist(), self.ranks))
+                continue
+            inside = np.arange(leaves) < size[here][:, None]
+            ids = np.full((len(here), leaves), -1, np.int32)
+            ids[inside] = flat[(start[:, None] + np.arange(leaves))[inside]]
+            ids = self.forest.merge(ids)
+            left = ids >= 0
+            found, upto = ids[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+            for k, a, b in zip(here.tolist(), [0, *upto], upto, strict=False):
+                out[k] = tuple(found[a:b])
+        return out
 
     def split(self, text: str) -> list[str]:
         """Words of the normal form: composed, lower-cased one character at a time (a final sigma is not special)."""
@@ -149,28 +222,41 @@ class WordBpe:
             return self.ascii_words.findall(text.lower())
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def encode(self, text: str | None) -> Iterator[int]:
+    def pieces(self, text: str | None) -> list[str]:
+        """Words and, after a space, special strings of a text, in order."""
         if not text:
-            return iter(())
+            return []
         if self.special is None or not self.special.search(text):
-            return chain.from_iterable(map(self.known.__getitem__, self.split(text)))
-        out: list[int] = []
-        for piece in self.special.split(text):
-            if piece in self.specials:
-                out.append(self.specials[piece])
-            elif piece:
-                out.extend(chain.from_iterable(map(self.known.__getitem__, self.split(piece))))
-        return iter(out)
-
-    def round_trip(self, text: str | None) -> tuple[Iterable[int], str]:
-        """Ids of a text, and the text they stand for."""
-        if not text:
-            return (), ""
-        if self.special is not None and self.special.search(text):
-            ids = list(self.encode(text))
-            return ids, " ".join(self.tokens[i] for i in ids)
-        words = self.split(text)
-        return chain.from_iterable(map(self.known.__getitem__, words)), " ".join(filter(None, map(self.shown.__getitem__, words)))
+            return self.split(text)
+        cut = self.special.split(text)
+        return [w for k, piece in enumerate(cut) for w in ([f" {piece}"] if k % 2 else self.split(piece))]
+
+    def code(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of all texts, every one of them known afterwards."""
+        known, shown = self.known, self.shown
+        for word in [w for w in known if len(w) > KNOWN_CHARS] if len(known) <= KNOWN_WORDS else list(known):
+            del known[word], shown[word]
+        cut = [self.pieces(t) for t in texts]
+        fresh = list(set().union(*cut) - known.keys())
+        plain = [w for w in fresh if w[0] != " "]
+        known.update(zip(plain, self.merged(plain), strict=True))
+        known.update((w, (self.specials[w[1:]],)) for w in fresh if w[0] == " ")
+        tokens = self.tokens
+        shown.update((w, " ".join([tokens[i] for i in known[w]])) for w in fresh)
+        return cut
+
+    def encode_all(self, texts: list[str | None]) -> list[Iterator[int]]:
+        """Ids of every text."""
+        return [chain.from_iterable(map(self.known.__getitem__, words)) for words in self.code(texts)]
+
+    def encode(self, text: str | None) -> Iterator[int]:
+        """Ids of one text."""
+        return self.encode_all([text])[0]
+
+    def round_trip(self, texts: list[str | None]) -> Iterator[tuple[Iterable[int], str]]:
+        """Ids of every text, and the text they stand for."""
+        for words in self.code(texts):
+            yield chain.from_iterable(map(self.known.__getitem__, words)), " ".join(filter(None, map(self.shown.__getitem__, words)))
 
 
 @lru_cache(maxsize=2)
@@ -208,8 +294,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
 
         def work(batch):
             flat, ends = array("i"), array("i", [0])
-            for t in batch.column(text).to_pylist():
-                flat.extend(bpe.encode(t))
+            for coded in bpe.encode_all(batch.column(text).to_pylist()):
+                flat.extend(coded)
                 ends.append(len(flat))
             return [_lists(flat, ends)]
 
@@ -228,8 +314,7 @@ def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
 
         def work(batch):
             flat, ends, back = array("i"), array("i", [0]), []
-            for t in batch.column(text).to_pylist():
-                coded, shown = bpe.round_trip(t)
+            for coded, shown in bpe.round_trip(batch.column(text).to_pylist()):
                 flat.extend(coded)
                 ends.append(len(flat))
                 back.append(shown)

@@ -96,3 +96,19 @@ def test_query_equals_library(spark, library):
         digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         back = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest, back)
+
+
+def test_words_side_by_side_equal_single_trees(own):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcehinorstéß") for _ in range(r.choice([1, 2, 3, 5, 8, 9, 17, 40, 70]))) for _ in range(800)]
+    for word, ids in zip(words, own.merged(words), strict=True):
+        raw = word.encode()
+        symbols = own.symbols[[0] * (len(raw) - 1) + [1], list(raw)].tolist()
+        assert list(ids) == bpe.merge_word(symbols, own.ranks) == plain_merge(symbols, own.ranks)
+    assert own.merged([]) == []
+
+
+def test_special_strings_in_other_case_are_words(own, library):
+    texts = ["<|ENDOFTEXT|> a", "<|endoftext|><|endoftext|>", "a<|startoftext|>b", None, "", "long" * 200, "<|endoftext|>"]
+    got = [list(x) for x in own.encode_all(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
