@@ -17,6 +17,7 @@ from reqlens.session import scratch_path
 from reqlens.sources import files
 from reqlens.sources.signatures import load_signatures
 from reqlens.sources.store import KeyedStore
+from reqlens.streaming import flows
 
 
 def json_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +168,44 @@ ALERT_UPSERTS = f"""WITH {t.ALERTS_SQL} SELECT alert_key, source, CASE WHEN seq
   CASE WHEN seq % 2 = 0 THEN ai_score END AS ai_score, CASE WHEN seq % 3 = 0 THEN 'true_positive' END AS human_label FROM alerts"""
 
 
+def alert_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts stored in batches of which one dies after its write, one is replayed, and a compaction runs in between.
+
+    Four streams' worth of batches: every seventh alert comes twice, in two batches. ``tries`` counts how often a key
+    was scored.
+    """
+    fields = "alert_key string, source string, ai_status string, ai_score double, tries int"
+    store = KeyedStore(spark, scratch_path(spark, "replay"), "alert_key", fields)
+    rows = t.alerts(spark, sf_dir).select("alert_key", "seq", "source", "ai_score").persist()
+
+    def batch(k: int) -> DataFrame:
+        return rows.where((F.col("seq") % 4 == k) | ((F.col("seq") % 7 == 0) & (F.col("seq") % 4 == (k + 3) % 4)))
+
+    def scored(fresh: DataFrame) -> DataFrame:
+        return fresh.withColumns({"ai_status": F.lit("enriched"), "tries": F.lit(1)})
+
+    def take(k: int, writer: str) -> None:
+        if not store.applied(k, writer):
+            store.upsert(flows.enrich_batch(batch(k), store, scored), k, writer=writer)
+
+    take(0, "audit")
+    store.write_attempt(scored(batch(1)))  # dies before its commit
+    take(1, "audit")
+    take(1, "audit")
+    store.compact()
+    take(1, "audit")
+    take(0, "audit")
+    take(2, "audit")
+    store.compact()
+    take(0, "other")  # a stream of its own begins at batch 0 again
+    store.upsert(flows.enrich_batch(batch(3), store, scored), 1, writer="other")
+    rows.unpersist()
+    return store.current()
+
+
+ALERT_REPLAY = f"""WITH {t.ALERTS_SQL} SELECT alert_key, source, 'enriched' AS ai_status, ai_score, 1 AS tries FROM alerts"""
+
+
 def cleared_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts cleared from a store: how many went, how many are left, how many come back with the next batch."""
     store = KeyedStore(spark, scratch_path(spark, "cleared"), "alert_key", "alert_key string, source string")
@@ -252,6 +291,7 @@ QUERIES = {
     "override_lines": (override_lines, aq.DISABLED_RULES),
     "signature_file": (signature_file, SIGNATURE_FILE),
     "alert_upserts": (alert_upserts, ALERT_UPSERTS),
+    "alert_replay": (alert_replay, ALERT_REPLAY),
     "cleared_alerts": (cleared_alerts, CLEARED_ALERTS),
     "metric_rows": (metric_rows, METRIC_ROWS),
     "rule_switches": (rule_switches, RULE_SWITCHES),

@@ -60,8 +60,8 @@ def bodies(lines: DataFrame) -> DataFrame:
 
 
 def enrich_batch(batch: DataFrame, store: KeyedStore, scorer: Scorer) -> DataFrame:
-    """Skip keys stored as enriched, score the rest, mark what was scored."""
-    fresh = joins.without_enriched(batch, store.current().select("alert_key", "ai_status"))
+    """Skip keys stored as enriched, score the rest, mark what was scored. Only buckets of the batch's keys are read."""
+    fresh = joins.without_enriched(batch, store.lookup(batch).select("alert_key", "ai_status"))
     return scorer(fresh)
 
 
@@ -69,11 +69,21 @@ def into_store(
     df: DataFrame, store: KeyedStore, checkpoint: str, scorer: Scorer | None = None, order: str | None = None,
     mode: str = "append",
 ) -> DataStreamWriter:
-    """Writer that upserts every micro-batch; the batch id makes a replay harmless."""
+    """Writer that upserts every micro-batch once.
+
+    The checkpoint names the writer: a replay of a batch that is stored changes nothing, and another stream into the
+    same store has batches of its own.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = enrich_batch(batch, store, scorer) if scorer else batch
-        store.upsert(rows, batch_id, order)
+        if store.applied(batch_id, checkpoint):
+            return
+        batch.persist()
+        try:
+            rows = enrich_batch(batch, store, scorer) if scorer else batch
+            store.upsert(rows, batch_id, order, writer=checkpoint)
+        finally:
+            batch.unpersist()
 
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
 
