@@ -12,7 +12,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -29,7 +28,7 @@ NO_MERGE, PAIR = 1 << 62, 24
 #: Symbols up to which words of a batch are merged side by side; bits of a place in their leaves.
 SHORT, PLACE = 64, 8
 #: Words a worker remembers, and the characters up to which one is remembered.
-KNOWN_WORDS, KNOWN_CHARS = 400_000, 40
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 40
 
 
 def byte_characters() -> list[str]:
@@ -259,9 +258,8 @@ class WordBpe:
             yield chain.from_iterable(map(self.known.__getitem__, words)), " ".join(filter(None, map(self.shown.__getitem__, words)))
 
 
-@lru_cache(maxsize=2)
 def rules_of(text: str) -> WordBpe:
-    """Rules of a vocabulary file and the words met; a worker process keeps them from task to task."""
+    """Rules of a vocabulary file, with room for the words met in a task; a worker does not keep them for later tasks."""
     gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
     return WordBpe(text)
 
