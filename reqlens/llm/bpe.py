@@ -28,7 +28,9 @@ NO_MERGE, PAIR = 1 << 62, 24
 #: Symbols up to which words of a batch are merged side by side; bits of a place in their leaves.
 SHORT, PLACE = 64, 8
 #: Words a worker remembers, and the characters up to which one is remembered.
-KNOWN_WORDS, KNOWN_CHARS = 200_000, 40
+KNOWN_WORDS, KNOWN_CHARS = 100_000, 40
+#: Bytes of texts that are coded at once.
+CODED_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -272,7 +274,7 @@ def _with_columns(df: DataFrame, kinds: dict[str, T.DataType], make, by: str | N
     def run(batches):
         work = make()
         for whole in batches:
-            for batch in small_batches(whole, by) if by else [whole]:
+            for batch in small_batches(whole, by, CODED_BYTES) if by else [whole]:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names=[*kept, *kinds])
 
     return df.mapInArrow(run, schema)

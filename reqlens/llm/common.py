@@ -19,14 +19,14 @@ MAP_BITS = 1 << 26
 BATCH_BYTES = 4 << 20
 
 
-def small_batches(batch, column: str):
-    """A batch cut into pieces whose texts have some MB, at least one row each."""
+def small_batches(batch, column: str, size: int = BATCH_BYTES):
+    """A batch cut into pieces whose texts have ``size`` bytes, at least one row each."""
     sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
     start = 0
     at = sizes.to_numpy()
     while start < len(at):
         before = at[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(at, before + BATCH_BYTES, "right")))
+        end = max(start + 1, int(np.searchsorted(at, before + size, "right")))
         yield batch.slice(start, end - start)
         start = end
 
