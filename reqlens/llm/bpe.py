@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from reqlens.llm.common import small_batches
+from reqlens.llm.common import give_back, small_batches
 
 #: Rank of a leaf whose pair cannot be merged, and bits of an id in a pair.
 NO_MERGE, PAIR = 1 << 62, 24
@@ -262,7 +262,6 @@ class WordBpe:
 
 def rules_of(text: str) -> WordBpe:
     """Rules of a vocabulary file, with room for the words met in a task; a worker does not keep them for later tasks."""
-    gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
     return WordBpe(text)
 
 
@@ -272,10 +271,17 @@ def _with_columns(df: DataFrame, kinds: dict[str, T.DataType], make, by: str | N
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(k, v) for k, v in kinds.items()]])
 
     def run(batches):
+        usual = gc.get_threshold()
+        gc.set_threshold(200_000)  # the words met are many small objects; default passes over them cost a sixth
         work = make()
-        for whole in batches:
-            for batch in small_batches(whole, by, CODED_BYTES) if by else [whole]:
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names=[*kept, *kinds])
+        try:
+            for whole in batches:
+                for batch in small_batches(whole, by, CODED_BYTES) if by else [whole]:
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *work(batch)], names=[*kept, *kinds])
+        finally:
+            del work
+            gc.set_threshold(*usual)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
