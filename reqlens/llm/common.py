@@ -31,6 +31,22 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(work):
+    """The function of a group, or of a pair of groups, that gives its memory back when it is done."""
+
+    def one(rows):
+        out = work(rows)
+        give_back()
+        return out
+
+    def two(rows, others):
+        out = work(rows, others)
+        give_back()
+        return out
+
+    return one if work.__code__.co_argcount == 1 else two
+
+
 def small_batches(batch, column: str, size: int = BATCH_BYTES):
     """A batch cut into pieces whose texts have ``size`` bytes, at least one row each."""
     sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reqlens.llm.common import WORD, identity, renamed, text_key
+from reqlens.llm.common import WORD, identity, renamed, text_key, tidy
 from reqlens.llm.components import components, forest
 from reqlens.session import cut_lineage
 
@@ -212,6 +212,7 @@ def _crowd_links(crowd: DataFrame, texts: DataFrame, shingle: int, similarity: f
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("_id", "band", "group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
+    @tidy
     def compare(frame):
         known = WordHashes()
         sets = [np.unique(shingle_hashes(word.findall(t), known, shingle), return_counts=True) for t in frame["_text"]]

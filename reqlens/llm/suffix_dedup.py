@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from reqlens.llm.common import identity, renamed, small_batches
+from reqlens.llm.common import identity, renamed, small_batches, tidy
 from reqlens.session import cut_lineage
 
 #: Bytes of a repeated string, of the strings that name windows, and of a super-symbol.
@@ -300,6 +300,7 @@ def repeated_bytes(
                 out = [(b, key[rows].tobytes(), tag[rows].tobytes()) for b, rows in _grouped(at, np.arange(len(at)))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["bin", "keys", "tags"])
 
+    @tidy
     def flag_names(rows: pd.DataFrame) -> pd.DataFrame:
         keys, tags = (np.concatenate([np.frombuffer(v, np.uint32) for v in rows[c]]) for c in ("keys", "tags"))
         weight, owner = (tags & np.uint32(1)).astype(np.int64) + 1, (tags >> np.uint32(1)).astype(np.int64)
@@ -316,6 +317,7 @@ def repeated_bytes(
         letters(copies, COPIES, F.pmod(F.xxhash64("_id"), F.lit(n_parts)), None, F.col("_id"), F.col("_hash"), None))
     mail = cut_lineage(mail, "flags")
 
+    @tidy
     def send_pieces(texts: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
         docs = [(i, raw) for _, i, raw in _originals(texts, letters)]
         found, _ = _distinct_pieces(docs, _flags(letters), n_bins, length, gram)
@@ -329,6 +331,7 @@ def repeated_bytes(
                         np.array([o for _, o in got], np.int64).tobytes()))
         return pd.DataFrame(out, columns=["bin", "part", "pieces", "sizes", "owners"])
 
+    @tidy
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         index: dict[bytes, int] = {}
         names, owners, refs = [], [], []
@@ -355,6 +358,7 @@ def repeated_bytes(
     answers = sent.groupBy("bin").applyInPandas(answer, "part long, bin long, runs binary")
     back = mail.unionByName(letters(answers, VERDICTS, F.col("part"), F.col("bin"), None, None, F.col("runs")))
 
+    @tidy
     def cut_texts(texts: pd.DataFrame, letters: pd.DataFrame) -> pd.DataFrame:
         own = _originals(texts, letters)
         found, uses = _distinct_pieces([(i, raw) for _, i, raw in own], _flags(letters), n_bins, length, gram)
