@@ -95,6 +95,13 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
+def run_once(writer: DataStreamWriter) -> StreamingQuery:
+    """Take all there is in a single batch, then stop; for sources without a plan of their own for what is there."""
+    query = writer.trigger(once=True).start()
+    query.awaitTermination()
+    return query
+
+
 def stream_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is available into Parquet and read the result."""
     spark = df.sparkSession
