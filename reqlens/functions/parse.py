@@ -273,6 +273,7 @@ FEATURE_NAMES = {
 
 
 def rename_for_features(df: DataFrame) -> DataFrame:
+    """Firewall-prefixed evidence columns under the names the feature step expects."""
     return df.withColumnsRenamed(FEATURE_NAMES)
 
 

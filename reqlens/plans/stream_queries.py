@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqlens.functions import parse
-from reqlens.operators import rules
+from reqlens.operators import registry, rules
 from reqlens.plans import tables as t
 from reqlens.plans.access_queries import TS, TS_SQL
 from reqlens.plans.request_queries import ACCESS_EVENTS, _signature_sql, access_lines, audit_lines
 from reqlens.session import scratch_path
 from reqlens.sources.store import KeyedStore
-from reqlens.streaming import flows, state
+from reqlens.streaming import alerts, flows, state
 
 ALERT_FIELDS = (
     "alert_key string, seq bigint, timestamp_raw string, uri string, method string, anomaly_score double, source string, "
@@ -32,18 +32,81 @@ def _score(df: DataFrame) -> DataFrame:
     )
 
 
-def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit lines streamed to stored alerts: parsed, deduplicated, scored, upserted."""
-    store = _store(spark, "alerts", "alert_key", ALERT_FIELDS)
-    alerts = flows.first_seen(flows.audit_alerts(audit_lines(t.event_stream(spark, sf_dir))))
-    flows.run_available(flows.into_store(alerts, store, scratch_path(spark, "alerts-checkpoint"), _score))
-    return store.current().drop("matched_signatures", "alert_key")
+STORED_ALERT = (
+    "alert_key string, seq bigint, timestamp_raw string, client_ip string, uri string, method string, body string, body_length bigint, "
+    "anomaly_score double, triggered_rules array<string>, source string, coraza_flagged boolean, status string, ai_status string, ai_score double, "
+    "ai_confidence double, ai_confidence_interval struct<low:double,high:double>, ai_entropy double, ai_priority string, "
+    f"ai_explanation {registry.CONTRIBUTION}, ai_model_version string"
+)
+#: Weights and means of the two versions the stream query scores with, and their bootstrap offsets.
+SCORER_NAMES = ["anomaly_score", "uri_length", "has_body", "total_rule_count"]
+SCORERS = {
+    "v1": ([0.0731, -0.0213, 0.417, 0.153], [7.3, 9.1, 0.6, 1.7], -1.07, (-0.0312347, 0.0423451)),
+    "v2": ([0.1317, 0.0119, -0.211, 0.2791], [7.3, 9.1, 0.6, 1.7], -2.0317, (-0.0712347, 0.0923451)),
+}
 
 
-ALERT_STREAM = f"""WITH {t.ALERTS_SQL} SELECT seq, timestamp_raw, uri, method, anomaly_score, 'coraza' AS source, true AS coraza_flagged,
-  'enriched' AS ai_status, round(anomaly_score / (anomaly_score + 5), 4) AS ai_score,
-  CASE WHEN anomaly_score > 10 THEN 'P1' ELSE 'P2' END AS ai_priority
-FROM alerts WHERE seq % 97 <> 0 AND anomaly_score > 0"""
+def _register(models: registry.ModelRegistry, version: str) -> None:
+    weights, means, intercept, offsets = SCORERS[version]
+    model = registry.LinearScorer(names=SCORER_NAMES, weights=weights, means=means, intercept=intercept)
+    assert models.register(model, "fixed", {"weights": weights}, offsets) == version
+
+
+def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit and access lines streamed to stored alerts: parsed, bodies filled, scored by the version in force, upserted.
+
+    Even lines come while v1 is in force, then v2 is registered and the odd lines come; the same scorer loads it.
+    """
+    store = _store(spark, "alerts", "alert_key", STORED_ALERT)
+    bodies = alerts.body_store(spark, scratch_path(spark, "bodies"))
+    models = registry.ModelRegistry(spark, scratch_path(spark, "models"))
+    scorer = registry.ModelScorer(models)
+    for k, version in enumerate(SCORERS):
+        _register(models, version)
+        events = t.event_stream(spark, sf_dir)
+        lines = alerts.log_lines(audit_lines(events).where(F.col("seq") % 2 == k), access_lines(t.event_stream(spark, sf_dir)))
+        flows.run_available(alerts.alerts_into_store(lines, store, bodies, scratch_path(spark, "alerts-checkpoint"), scorer))
+    out = store.current().drop("alert_key")
+    return out.withColumns({
+        "triggered_rules": F.array_join("triggered_rules", ","), "ci_low": F.col("ai_confidence_interval.low"), "ci_high": F.col("ai_confidence_interval.high"),
+        "ai_explanation": F.array_join(F.transform("ai_explanation", lambda c: F.concat_ws(":", c["name"], c["grp"], c["direction"])), ","),
+    }).drop("ai_confidence_interval")
+
+
+def _by_version(values) -> str:
+    return f"CASE seq % 2 WHEN 0 THEN {values('v1')} ELSE {values('v2')} END"
+
+
+def _margin_sql(version: str) -> str:
+    weights, _, intercept, _ = SCORERS[version]
+    return f"{intercept}::DOUBLE + " + " + ".join(f"{w}::DOUBLE * {n}" for w, n in zip(weights, SCORER_NAMES, strict=True))
+
+
+def _parts_sql(version: str) -> str:
+    weights, means, _, _ = SCORERS[version]
+    groups = ["anomaly_score", "request_structure", "request_structure", "rule"]
+    parts = ", ".join(f"{{'n': '{n}', 'g': '{g}', 'v': {w}::DOUBLE * ({n} - {m}::DOUBLE)}}" for n, g, w, m in zip(SCORER_NAMES, groups, weights, means, strict=True))
+    return f"[{parts}]"
+
+
+ALERT_STREAM = f"""WITH {t.ALERTS_SQL}, lines AS ({ACCESS_EVENTS}),
+b AS (SELECT method, uri, strptime(timestamp_raw, '%Y-%m-%dT%H:%M:%SZ') AS ts, seq, body FROM lines WHERE body <> ''),
+a AS (SELECT seq, timestamp_raw, client_ip, uri, method, body, anomaly_score, date_trunc('second', ts) AS ts,
+  list_filter(triggered_rules, lambda r: r NOT LIKE '%7') AS rules FROM alerts WHERE seq % 97 <> 0 AND anomaly_score > 0),
+m AS (SELECT a.seq, arg_max(b.body, (b.ts, b.seq)) AS found FROM a JOIN b ON a.method = b.method AND a.uri = b.uri
+  AND b.ts <= a.ts AND a.ts < b.ts + INTERVAL 5 MINUTE WHERE a.body = '' GROUP BY 1),
+f AS (SELECT a.* EXCLUDE (body, rules), coalesce(found, body) AS body, rules, length(uri)::DOUBLE AS uri_length,
+  CASE WHEN coalesce(found, body) <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS has_body, len(rules)::DOUBLE AS total_rule_count FROM a LEFT JOIN m USING (seq)),
+p AS (SELECT *, round(1 / (1 + exp(-({_by_version(_margin_sql)}))), 6) AS p, {_by_version(lambda v: f"{SCORERS[v][3][0]}::DOUBLE")} AS q0,
+  {_by_version(lambda v: f"{SCORERS[v][3][1]}::DOUBLE")} AS q1, {_by_version(_parts_sql)} AS parts FROM f),
+c AS (SELECT *, round(greatest(0, p + q0), 4) AS ci_low, round(least(1, p + q1), 4) AS ci_high, greatest(1e-12, least(1 - 1e-12, p)) AS q FROM p),
+e AS (SELECT *, round(-(q * log2(q) + (1 - q) * log2(1 - q)), 6) AS h, round(ci_high - ci_low, 4) AS width FROM c)
+SELECT seq, timestamp_raw, client_ip, uri, method, body, strlen(body)::BIGINT AS body_length, anomaly_score, array_to_string(rules, ',') AS triggered_rules,
+  'coraza' AS source, true AS coraza_flagged, 'generated' AS status, 'enriched' AS ai_status, p AS ai_score, round((1 - h) * 100, 2) AS ai_confidence,
+  ci_low::DOUBLE AS ci_low, ci_high::DOUBLE AS ci_high, h AS ai_entropy, CASE WHEN p >= 0.9 AND width <= 0.15 THEN 'P1' WHEN p <= 0.1 AND width <= 0.15 THEN 'P3' ELSE 'P2' END AS ai_priority,
+  array_to_string(list_transform(list_sort(list_transform(parts, lambda x: {{'k': -abs(x.v), 'n': x.n, 'g': x.g, 'v': x.v}})),
+    lambda x: x.n || ':' || x.g || ':' || CASE WHEN x.v >= 0 THEN 'positive' ELSE 'negative' END), ',') AS ai_explanation,
+  CASE seq % 2 WHEN 0 THEN 'v1' ELSE 'v2' END AS ai_model_version FROM e"""
 
 
 def miss_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

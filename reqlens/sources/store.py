@@ -110,6 +110,18 @@ class KeyedStore:
         dealt.sortWithinPartitions("bucket", self.key).write.partitionBy("bucket").parquet(f"{self.path}/data/attempt={name}")
         return name
 
+    def newest_rows(self, df: DataFrame, order: str | None) -> DataFrame:
+        """One row for each key of a batch: that with the largest ``order``, else the last one."""
+        names = [f.name for f in self.schema if f.name in df.columns]
+        newest = F.max_by(F.struct(*names), F.col("_order")).alias("_r")
+        placed = df.withColumn("_order", F.monotonically_increasing_id() if order is None else F.col(order))
+        return placed.groupBy(F.col(self.key).alias("_key")).agg(newest).select("_r.*")
+
+    def upsert_after(self, seen: dict, df: DataFrame) -> bool:
+        """Insert or update by key if ``seen`` is still the newest version, for rows that depend on what was read."""
+        folder = self.write_attempt(self.newest_rows(df, None))
+        return self._create({**seen, "folders": [*seen["folders"], folder], "version": seen["version"] + 1})
+
     def upsert(self, df: DataFrame, batch: int | None = None, order: str | None = None, writer: str = "") -> bool:
         """Insert or update by key; within the batch the row with the largest ``order`` wins, else the last one.
 
@@ -117,11 +129,7 @@ class KeyedStore:
         """
         if batch is not None and self.applied(batch, writer):
             return False
-        names = [f.name for f in self.schema if f.name in df.columns]
-        newest = F.max_by(F.struct(*names), F.col("_order")).alias("_r")
-        placed = df.withColumn("_order", F.monotonically_increasing_id() if order is None else F.col(order))
-        rows = placed.groupBy(F.col(self.key).alias("_key")).agg(newest).select("_r.*")
-        folder = self.write_attempt(rows)
+        folder = self.write_attempt(self.newest_rows(df, order))
 
         def add(now: dict) -> dict | None:
             if batch is not None and now["writers"].get(writer, -1) >= batch:
