@@ -136,6 +136,11 @@ def match_replay(
     )
 
 
+def matched_only(replayed: DataFrame, entry: str) -> DataFrame:
+    """Replayed requests that have an audit entry; the others tell nothing about the firewall and are left out."""
+    return replayed.where(F.col(entry).isNotNull())
+
+
 def apply_overrides(catalog: DataFrame, overrides: DataFrame) -> DataFrame:
     """Rule catalog with the latest override of each rule; an override wins.
 

@@ -12,6 +12,8 @@ from reqlens.functions import timestamps as tm
 
 TICK_SECONDS = 10
 LATENCY_SAMPLE = 100
+#: Size of the quantile sketches; ranges a column is cut into for exact quantiles, and rows that one task sorts.
+SKETCH_K, RANGES, SORTED_ROWS = 800, 64, 100_000
 EMPTY_SERIES_MINUTES = 60
 RETENTION_MINUTES = 24 * 60
 DURATION_BOUNDS = [0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0]
@@ -106,10 +108,59 @@ def latency_summary(
     )
 
 
-def latency_quantiles(rows: DataFrame, latency: str = "latency_ms", accuracy: int = 10000) -> DataFrame:
-    """Approximate percentiles over all rows, for tables where the last hundred say too little."""
-    p = F.approx_percentile(latency, [0.5, 0.95, 0.99], accuracy)
-    return rows.agg(p.alias("_p")).select(*[F.col("_p")[i].alias(f"p{n}") for i, n in enumerate((50, 95, 99))])
+def latency_sketches(rows: DataFrame, latency: str = "latency_ms", ts: str = "ts", k: int = SKETCH_K) -> DataFrame:
+    """(minute, n, sketch): a mergeable quantile sketch of every minute's latencies, for windows chosen later."""
+    minute = F.date_trunc("minute", ts)
+    return rows.where(F.col(latency).isNotNull()).groupBy(minute.alias("minute")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(latency).cast("double"), k).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, fractions: list[float], k: int = SKETCH_K) -> DataFrame:
+    """(n, quantiles) of all minutes of ``sketches`` together; a quantile's rank is off by 2.3 / k^0.9 of n at most."""
+    merged = sketches.agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("s"))
+    found = F.kll_sketch_get_quantile_double("s", F.array(*map(F.lit, fractions)))
+    return merged.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, found).alias("quantiles"))
+
+
+def _value_at(values: DataFrame, rank: int, rows: int) -> float:
+    """The value at a 0-based rank of a table (v) with so many rows.
+
+    Sketch quantiles cut the values into even ranges; the range that holds the rank is cut again until it is small
+    or holds one value, so no task ever sorts more than SORTED_ROWS rows, whatever the ties.
+    """
+    while rows > SORTED_ROWS:
+        cuts = values.agg(F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("v", SKETCH_K), F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("c")).first().c
+        cuts = sorted(set(cuts))
+        # Even numbers are the cuts themselves, odd ones the open ranges between them.
+        place = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("v"))) * 2 + F.array_contains(F.lit(cuts), F.col("v")).cast("int")
+        placed = values.withColumn("at", place)
+        for at, n in sorted((r.at, r.n) for r in placed.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()):
+            if rank < n:
+                break
+            rank -= n
+        if at % 2:
+            return cuts[at // 2]
+        values, rows = placed.where(F.col("at") == at).select("v"), n
+    return values.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select(
+        "v", F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("upto")).where(F.col("upto") > rank).agg(F.min("v").alias("v")).first().v
+
+
+def exact_quantiles(rows: DataFrame, column: str, fractions: list[float]) -> list[float | None]:
+    """Interpolated quantiles over all rows that have a value."""
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
+    n = values.count()
+    if not n:
+        return [None] * len(fractions)
+    known: dict[int, float] = {}
+    out = []
+    for f in fractions:
+        low = int(f * (n - 1))
+        part = f * (n - 1) - low
+        for rank in (low, low + 1) if part else (low,):
+            if rank not in known:
+                known[rank] = _value_at(values, rank, n)
+        out.append(known[low] + part * (known[low + 1] - known[low]) if part else known[low])
+    return out
 
 
 def request_counters(access: DataFrame) -> DataFrame:

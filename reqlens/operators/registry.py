@@ -21,7 +21,9 @@ from reqlens.contract import CONTRACT_VERSION, FEATURE_NAMES
 from reqlens.functions import advice
 from reqlens.functions.features import with_features
 from reqlens.functions.parse import rename_for_features
+from reqlens.operators import evaluation, quality, training
 from reqlens.operators.training import PROBABILITY, CalibratedModel, contributions, linear_contributions, raw_contributions
+from reqlens.session import cut_lineage
 from reqlens.sources.store import KeyedStore
 
 VERSION = (
@@ -95,7 +97,7 @@ class ModelRegistry:
             number = 1 + max((r.number for r in known if r.number), default=0)
             row = Row(
                 version=f"v{number}", number=number, kind=kind, path=path, active=activate, dataset_hash=dataset_hash,
-                feature_schema_version=CONTRACT_VERSION, config=json.dumps(config or {}, sort_keys=True), q025=offsets[0], q975=offsets[1],
+                feature_schema_version=CONTRACT_VERSION, config=json.dumps(config or {}, sort_keys=True, default=str), q025=offsets[0], q975=offsets[1],
                 composite_score=composite_score)
             rows = self.spark.createDataFrame([row], VERSION.replace(", trained_at timestamp", "")).withColumn("trained_at", F.current_timestamp())
             ended = [(r.version, False) for r in known if r.active and activate]
@@ -123,6 +125,37 @@ class ModelRegistry:
         return LinearScorer.load(row.path) if row.kind == "linear" else CalibratedModel.load(row.path)
 
 
+def train_and_register(
+    registry: ModelRegistry, requests: DataFrame, candidates: dict[str, dict], replicates: int = evaluation.BOOTSTRAP_REPLICATES,
+) -> tuple[str, DataFrame]:
+    """Train candidates on split requests, register the best one, and return its version and all test metrics.
+
+    ``candidates`` names those to train with their settings. The version keeps the content hash of the data set, the
+    settings, the metrics of all candidates, the training means, and how far the bootstrap percentiles of the best
+    candidate's mean test probability lie from that mean.
+    """
+    featurizer, featured = training.featured_splits(requests)
+    fitted = {
+        name: training.fit_candidate(featured, training.CANDIDATES[name](**settings), training.WEIGHING.get(name, training.balanced_weights))
+        for name, settings in candidates.items()
+    }
+    scores = cut_lineage(training.test_scores(featured, fitted), "test-scores")
+    metrics = cut_lineage(evaluation.rank_models(evaluation.all_metrics(scores)), "metrics")
+    ranked = metrics.orderBy(F.desc("composite_score"), "model").collect()  # a row for each candidate
+    best = ranked[0]
+    interval = evaluation.bootstrap_interval(evaluation.bootstrap_means(scores.where(F.col("model") == best.model), replicates)).first()
+    config = {
+        "model": best.model, "candidates": candidates, "seed": training.SEED, "bootstrap": {"b": interval.b, "ci_level": advice.LEVEL},
+        "metrics": [{k: v for k, v in r.asDict().items() if v is not None} for r in ranked],
+        "means": training.feature_means(featured.where(F.col("split") == "train")),
+    }
+    digest = requests.agg(quality.content_hash(requests).cast("string").alias("h")).first().h
+    version = registry.register(
+        training.CalibratedModel(featurizer, *fitted[best.model]), digest, config,
+        (interval.quantile_low - interval.mean, interval.quantile_high - interval.mean), float(best.composite_score))
+    return version, metrics
+
+
 def _severity(rule: Column) -> Column:
     """Severity of a rule among the details; the last one counts."""
     hits = F.filter("rule_details", lambda d: d["rule_id"] == rule)

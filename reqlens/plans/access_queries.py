@@ -113,6 +113,26 @@ SELECT count(*) AS total_predictions, round(avg(duration * 1000), 3) AS avg_late
   round(count(*) / greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6, 1), 6) AS predictions_per_minute FROM access"""
 
 
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency percentiles over all requests: exact, and whether those of the merged minute sketches are within their bound."""
+    a = t.access(spark, sf_dir).withColumn("latency_ms", F.col("duration") * 1000)
+    fractions = [0.5, 0.95, 0.99]
+    exact = metrics.exact_quantiles(a, "latency_ms", fractions)
+    rough = metrics.sketched_quantiles(metrics.latency_sketches(a), fractions)
+    bound = 2.3 / metrics.SKETCH_K**0.9
+    near = [
+        ((F.count_if(F.col("latency_ms") < F.col("quantiles")[i]) / F.first("n") <= f + bound)
+         & (F.count_if(F.col("latency_ms") <= F.col("quantiles")[i]) / F.first("n") >= f - bound)).alias(f"p{round(f * 100)}_near")
+        for i, f in enumerate(fractions)
+    ]
+    shown = [F.lit(v).cast("double").alias(f"p{round(f * 100)}_ms") for f, v in zip(fractions, exact, strict=True)]
+    return a.join(F.broadcast(rough)).agg(F.count(F.lit(1)).alias("requests"), *near).select("requests", *[F.round(c, 6).alias(f"p{round(f * 100)}_ms") for f, c in zip(fractions, shown, strict=True)], "p50_near", "p95_near", "p99_near")
+
+
+LATENCY_QUANTILES = f"""WITH {t.ACCESS_SQL} SELECT count(*) AS requests, {', '.join(
+    f"round(quantile_cont(duration * 1000, {f}), 6) AS p{round(f * 100)}_ms, true AS p{round(f * 100)}_near" for f in (0.5, 0.95, 0.99))} FROM access"""
+
+
 def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by method, endpoint and status."""
     return metrics.request_counters(t.access(spark, sf_dir))
@@ -198,6 +218,13 @@ m AS (SELECT alert_key, arg_min(entry_seq, (entry_ts, entry_seq)) AS entry_seq,
   FROM s JOIN e ON entry_ts BETWEEN sent_at - INTERVAL 5 SECOND AND sent_at + INTERVAL 5 SECOND AND contains(entry_uri, path) GROUP BY 1)
 SELECT alert_key, uri, entry_seq, entry_uri, entry_seq IS NOT NULL AS matched FROM s LEFT JOIN m USING (alert_key)"""
 
+def replay_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the replayed requests that an audit entry was found for, as a labelled data set keeps them."""
+    return joins.matched_only(replay_match(spark, sf_dir), "entry_seq").drop("matched")
+
+
+REPLAY_MATCHED = f"SELECT * EXCLUDE (matched) FROM ({REPLAY_MATCH}) WHERE matched"
+
 QUERIES = {
     "minute_rates": (minute_rates, MINUTE_RATES),
     "window_rates": (window_rates, WINDOW_RATES),
@@ -205,6 +232,8 @@ QUERIES = {
     "metric_series": (metric_series, METRIC_SERIES),
     "metric_series_empty": (metric_series_empty, METRIC_SERIES_EMPTY),
     "latency_summary": (latency_summary, LATENCY_SUMMARY),
+    "latency_quantiles": (latency_quantiles, LATENCY_QUANTILES),
+    "replay_matched": (replay_matched, REPLAY_MATCHED),
     "request_counters": (request_counters, REQUEST_COUNTERS),
     "duration_histogram": (duration_histogram, DURATION_HISTOGRAM),
     "attack_outcomes": (attack_outcomes, ATTACK_OUTCOMES),

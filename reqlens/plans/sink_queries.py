@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ from reqlens.plans import request_queries as rq
 from reqlens.plans import tables as t
 from reqlens.schemas import SIGNATURE
 from reqlens.session import scratch_path
-from reqlens.sources import files
+from reqlens.sources import files, follow
 from reqlens.sources.signatures import load_signatures
 from reqlens.sources.store import KeyedStore
 from reqlens.streaming import flows
@@ -280,6 +283,42 @@ SIGNATURE_FILE = rq.SIGNATURE_PREFILTER.replace("SELECT request_id, array_to_str
     "lambda h: h IS NOT NULL), ',') AS matched_signatures FROM texts", "lambda h: h IS NOT NULL)) AS id FROM texts) GROUP BY id"
 )
 
+def followed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines in a log that is followed while it grows and is rotated: how many came of each type, and how often.
+
+    The rows are written as text once per third; each third is appended to the live file, which is rotated in between.
+    A stream takes what is there after every step, from its checkpoint.
+    """
+    e = t.table(spark, sf_dir, "events")
+    home = scratch_path(spark, "followed").removeprefix("file:").replace("///", "/")
+    log, out, mark = f"{home}/log/events.json", f"{home}/out", f"{home}/mark"
+    Path(log).parent.mkdir(parents=True)
+    Path(log).write_text("a line from before the stream\n")
+
+    def take() -> None:
+        lines = follow.follow_file(spark, log).select("value", "file", "position")
+        flows.run_once(lines.writeStream.format("parquet").option("path", f"file://{out}").option("checkpointLocation", f"file://{mark}"))
+
+    take()
+    for k in range(3):
+        part = f"{home}/third-{k}"
+        e.where(F.col("event_id") % 3 == k).select(F.to_json(F.struct("event_id", "event_type"))).write.text(f"file://{part}")
+        with open(log, "ab") as live:
+            for piece in sorted(Path(part).glob("part-*")):
+                with open(piece, "rb") as f:
+                    shutil.copyfileobj(f, live)
+        if k == 1:
+            os.rename(log, f"{log}.1")  # rotated before it was read to its end
+        else:
+            take()
+    rows = spark.read.parquet(f"file://{out}").withColumn("e", F.from_json("value", "event_id bigint, event_type string"))
+    return rows.groupBy("e.event_type").agg(
+        F.count(F.lit(1)).alias("lines"), F.countDistinct("e.event_id").alias("events"), F.countDistinct("file", "position").alias("places"))
+
+
+FOLLOWED_LOG = "SELECT event_type, count(*) AS lines, count(DISTINCT event_id) AS events, count(*) AS places FROM events GROUP BY 1"
+
+
 QUERIES = {
     "json_line_scan": (json_line_scan, JSON_LINE_SCAN),
     "sentence_csv_scan": (sentence_csv_scan, SENTENCE_CSV_SCAN),
@@ -290,6 +329,7 @@ QUERIES = {
     "report_csv": (report_csv, aq.REPORT_ROWS),
     "override_lines": (override_lines, aq.DISABLED_RULES),
     "signature_file": (signature_file, SIGNATURE_FILE),
+    "followed_log": (followed_log, FOLLOWED_LOG),
     "alert_upserts": (alert_upserts, ALERT_UPSERTS),
     "alert_replay": (alert_replay, ALERT_REPLAY),
     "cleared_alerts": (cleared_alerts, CLEARED_ALERTS),

@@ -168,3 +168,26 @@ def test_offsets_reach_the_interval(spark):
     columns = registry.scored_columns(F.col("p"), (-0.12, None), F.array().cast(registry.CONTRIBUTION), "v7")
     row = df.select(*[c.alias(n) for n, c in columns.items()]).first()
     assert (row.ai_confidence_interval.low, row.ai_confidence_interval.high, row.ai_model_version) == (0.38, 0.6, "v7")
+
+
+def test_training_keeps_what_it_was_made_of(spark, models):
+    from reqlens.operators import quality
+
+    splits = quality.stratified_split(t.enriched_requests(spark, SF))
+    chosen = {"logistic_regression": {"iterations": 15}, "boosted_trees_x5": {"rounds": 2, "depth": 3}}
+    version, metrics = registry.train_and_register(models, splits, chosen, replicates=40)
+    row = models.active()
+    config = json.loads(row.config)
+    assert version == row.version == "v1" and {r.model for r in metrics.collect()} == set(chosen)
+    assert config["model"] == max(metrics.collect(), key=lambda r: r.composite_score).model
+    assert config["candidates"] == chosen and config["bootstrap"]["b"] == 40
+    assert row.q025 <= 0 <= row.q975 and row.q025 > -0.5
+    assert row.dataset_hash == splits.repartition(7).agg(quality.content_hash(splits).cast("string")).first()[0]
+    model = models.load(row)
+    explained = model.transform(splits.limit(5)).select(registry.explanation(model, config).alias("e")).collect()
+    assert all(len(r.e) == len(model.featurizer.feature_names()) for r in explained)
+
+
+def test_five_times_weight_of_positives(spark):
+    df = spark.createDataFrame([(1,), (0,)], "y int")
+    assert sorted((r.y, r.weight) for r in training.WEIGHING["boosted_trees_x5"](df).collect()) == [(0, 1.0), (1, 5.0)]
