@@ -116,6 +116,7 @@ def rule_indicator(ids: Column, rule_id: str) -> Column:
 
 
 def uri_depth(uri: Column) -> Column:
+    uri = url.cleaned(uri)
     segments = F.filter(F.split(url.path_of(uri), "/"), lambda s: s != "")
     return F.when(_splittable(uri), F.size(segments)).otherwise(0).cast("double")
 
@@ -127,6 +128,7 @@ def _splittable(uri: Column) -> Column:
 
 
 def query_param_count(uri: Column) -> Column:
+    uri = url.cleaned(uri)
     keys = F.transform(url.param_pairs(url.query_of(uri)), lambda p: p["k"])
     return F.when(_splittable(uri), F.size(F.array_distinct(keys))).otherwise(0).cast("double")
 
@@ -229,6 +231,7 @@ def max_param_value_length(uri: Column, body: Column) -> Column:
         lengths = F.transform(url.param_pairs(source), lambda p: F.char_length(p["v"]))
         return F.coalesce(F.array_max(lengths), F.lit(0))
 
+    uri = url.cleaned(uri)
     in_query = F.when(_splittable(uri), longest(url.query_of(uri))).otherwise(0)
     # A body without "=" holds only blank values, whose length is zero.
     in_body = F.when(body.contains("="), longest(body)).otherwise(0)

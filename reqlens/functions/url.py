@@ -15,6 +15,11 @@ SCHEME_AND_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?"
 BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
 
+def cleaned(uri: Column) -> Column:
+    """The target as a tolerant parser takes it: leading blanks and controls go, and tabs and line ends anywhere."""
+    return F.regexp_replace(F.regexp_replace(uri, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+
+
 def without_authority(uri: Column) -> Column:
     """Drop ``scheme:`` and ``//authority``; an origin-form target is unchanged."""
     return F.regexp_replace(uri, SCHEME_AND_AUTHORITY, "")

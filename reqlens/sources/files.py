@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,34 +25,48 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     return good, bad
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid, else UTF-16 when the file starts with its mark, else Latin-1."""
-    lines = spark.read.text(path)
+def file_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files under a path by encoding: UTF-8 when every line of the file is valid, else UTF-16 when a line starts with
+    its mark, else Latin-1. Every file is judged by itself, in one pass over all; a row for each file comes back."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).isin("FFFE", "FEFF")
-    row = lines.agg(
-        F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(mark), F.lit(False)).alias("utf16"),
-    ).first()
-    if row.utf8:
-        return "UTF-8"
-    return "UTF-16" if row.utf16 else "ISO-8859-1"
+    judged = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(mark).alias("utf16"))
+    out: dict[str, list[str]] = {}
+    for row in judged.orderBy("file").collect():
+        encoding = "UTF-8" if row.utf8 else "UTF-16" if row.utf16 else "ISO-8859-1"
+        out.setdefault(encoding, []).append(unquote(row.file))
+    return out
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Text columns of a CSV file with a header; rows with too many fields are dropped, short ones padded.
+def csv_parts(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, skipped) of CSV files with a header, as text columns; short rows are padded.
 
+    A row with more fields than its file's header is skipped and comes back with its first fields, its ``file`` and a
+    ``skip_reason``. Files of different encodings and columns may lie side by side; a column that a file lacks is null.
     ``multi_line`` allows quoted line breaks and makes a file one split; switch it off for very large files
     without them.
     """
-    encoding = detect_encoding(spark, path)
-    options = {
-        "header": True, "encoding": encoding, "escape": '"',
-        "multiLine": multi_line or encoding == "UTF-16",
-    }
-    names = spark.read.options(**options).csv(path).columns
-    fields = ", ".join(f"`{n}` string" for n in [*names, "_extra"])
-    rows = spark.read.options(**options).schema(fields).csv(path)
-    return rows.where(F.col("_extra").isNull()).drop("_extra")
+    found = file_encodings(spark, path)
+    rows = None
+    for encoding, files in found.items():
+        options = {"header": True, "encoding": encoding, "escape": '"', "multiLine": multi_line or encoding == "UTF-16"}
+        headers: dict[tuple[str, ...], list[str]] = {}
+        for file in files if encoding == "UTF-16" or len(found) > 1 else [path]:
+            headers.setdefault(tuple(spark.read.options(**options).csv(file).columns), []).append(file)
+        for names, same in headers.items():
+            fields = ", ".join(f"`{n}` string" for n in [*names, "_extra"])
+            part = spark.read.options(**options).schema(fields).csv(same).withColumn("file", F.col("_metadata.file_path"))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    if rows is None:
+        rows = spark.read.options(header=True).csv(path)
+        rows = rows.withColumns({"_extra": F.lit(None).cast("string"), "file": F.lit(None).cast("string")}).limit(0)
+    good = rows.where(F.col("_extra").isNull()).drop("_extra", "file")
+    return good, rows.where(F.col("_extra").isNotNull()).drop("_extra").withColumn("skip_reason", F.lit("too many fields"))
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The rows of ``csv_parts``; use that where the skipped ones are counted."""
+    return csv_parts(spark, path, multi_line)[0]
 
 
 def _split_skipped(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
