@@ -93,14 +93,37 @@ def fill_bodies(alerts: DataFrame, bodies: DataFrame, seq: str) -> DataFrame:
     return filled.withColumns(columns).drop("cached_body").unionByName(alerts.where(~empty))
 
 
-def _slash_substrings(uri: Column) -> Column:
-    """Distinct substrings of ``uri`` that start at a slash."""
-    n = F.char_length(uri)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.substring(uri, i, F.lit(1)) == "/")
-    cuts = F.transform(
-        starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(uri, i, k))
-    )
-    return F.when(n > 0, F.array_distinct(F.flatten(cuts)))
+#: Characters of the pieces that a contained text and its container share.
+GRAM = 3
+#: Log places in a slice when entries without a time take that of the entry before.
+PLACES_PER_SLICE = 60_000
+
+
+def _grams(text: Column) -> Column:
+    """Distinct pieces of GRAM characters, and an empty one that every text has."""
+    n = F.char_length(text)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.filter(pieces, lambda p: F.char_length(p) == GRAM)))
+
+
+def _own_gram(text: Column) -> Column:
+    """One piece of a text, by hash, so that common beginnings do not all ask for the same; empty for a shorter text."""
+    return F.array_max(F.transform(F.slice(_grams(text), 2, 1 << 30), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+
+
+def entry_times(entries: DataFrame, seq: str, ts: str = "entry_ts") -> DataFrame:
+    """Entries whose time is missing take that of the last entry before them in the log, the first ones the log's first.
+
+    The log is cut into slices of places; a slice takes over one row from the slices before it.
+    """
+    place = F.timestamp_micros((F.col(seq) * (SLICE_SECONDS * MICROS // PLACES_PER_SLICE)).cast("bigint"))
+    placed = entries.withColumns({"_log": F.lit(0), "_place": place})
+    timed = F.col(ts).isNotNull()
+    known = placed.where(timed).select("_log", "_place", F.col(seq).alias("_seq"), F.col(ts).alias("_before"))
+    filled = asof_join(placed.where(~timed), known, ["_log"], "_place", "_place", "_seq", ["_before"], 1 << 60)
+    first = F.broadcast(known.agg(F.min("_before").alias("_first")))  # one row
+    filled = filled.crossJoin(first).withColumn(ts, F.coalesce("_before", "_first")).drop("_before", "_first")
+    return placed.where(timed).unionByName(filled).drop("_log", "_place")
 
 
 def match_replay(
@@ -110,30 +133,36 @@ def match_replay(
     values: list[str],
     window_seconds: int = REPLAY_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Replayed requests with the first audit entry within the window whose URI contains the request path.
+    """Replayed requests with the first audit entry in the log, within the window, whose URI contains the request path.
 
-    ``requests`` holds uri and sent_at, ``entries`` entry_uri, entry_ts, ``seq`` (log order) and ``values``.
-    The containment becomes an equality: a sent path starts with a slash, so it is contained exactly when
-    it equals one of the entry's substrings that start at a slash. Substrings no request asks for are
-    dropped before the as-of search, which finds the first entry from ``window_seconds`` before sending.
-    A path contained by a longer one is also found, and a containing URI implies a containing path.
+    ``requests`` holds uri and sent_at, ``entries`` entry_uri, entry_ts, ``seq`` (log order) and ``values``. Targets may
+    be absolute or lack a slash; an entry without a time counts with that of the entry before it.
+
+    Containment becomes an equality: all pieces of a contained text are among those of its container, so a request asks
+    for one piece of its path, and an entry answers with its pieces, as many as it has characters, of which only those
+    that are asked for go on. Request and entry meet by piece and time slot; containment and the window are tested then.
     """
-    reach = window_seconds * MICROS
-    # The contained text is the raw URI up to its query, as the log holds it.
-    sent = requests.withColumns(
-        {
-            "_path": F.substring_index("uri", "?", 1),
-            "_from": F.timestamp_micros(F.unix_micros("sent_at") - reach),
-        }
-    )
-    wanted = sent.select("_path").distinct()
-    asked = (
-        entries.withColumn("_path", F.explode(_slash_substrings(F.col("entry_uri"))))
-        .join(wanted, "_path", "left_semi")
+    slot = window_seconds * MICROS
+    row = F.struct(*requests.columns)
+    sent = requests.select(
+        F.monotonically_increasing_id().alias("_id"), row.alias("_row"), F.substring_index("uri", "?", 1).alias("_path"),
+        F.unix_micros("sent_at").alias("_sent")
+    ).withColumn("_gram", F.coalesce(_own_gram(F.col("_path")), F.lit("")))
+    asked = requests.select(F.coalesce(_own_gram(F.substring_index("uri", "?", 1)), F.lit("")).alias("_gram")).distinct()
+    answers = (
+        entry_times(entries, seq).select("entry_uri", F.unix_micros("entry_ts").alias("_at"), F.struct(seq, *[v for v in values if v != seq]).alias("_e"))
+        .withColumn("_gram", F.explode(_grams(F.coalesce("entry_uri", F.lit("")))))
+        .join(asked, "_gram", "left_semi")
+        .withColumn("_slot", F.floor(F.col("_at") / slot))
+        .withColumnRenamed("_gram", "_g")
     )
-    return asof_join(sent, asked, ["_path"], "_from", "entry_ts", seq, values, 2 * reach, "forward").drop(
-        "_path", "_from"
+    slots = sent.withColumn("_near", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("_sent") / slot) + d)))
+    meets = (
+        (F.col("_gram") == F.col("_g")) & (F.col("_near") == F.col("_slot")) & F.col("entry_uri").contains(F.col("_path"))
+        & (F.abs(F.col("_at") - F.col("_sent")) <= slot)
     )
+    found = slots.join(answers, meets, "left").groupBy("_id").agg(F.first("_row").alias("_row"), F.min("_e").alias("_e"))
+    return found.select("_row.*", *[F.col(f"_e.{v}").alias(v) for v in values])
 
 
 def matched_only(replayed: DataFrame, entry: str) -> DataFrame:

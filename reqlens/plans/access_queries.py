@@ -195,29 +195,38 @@ FROM a LEFT JOIN m USING (alert_key)"""
 
 
 def replay_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replayed requests with the first audit entry within five seconds whose URI contains the request path."""
+    """Replayed requests with the first audit entry within five seconds whose URI contains the request path.
+
+    Some paths lack a slash, some entries hold absolute targets, and every tenth entry has no time.
+    """
     a = t.alerts(spark, sf_dir)
+    lead = F.when(F.col("seq") % 11 == 0, "").otherwise("/")
     sent = a.select(
-        "alert_key", F.concat(F.lit("/u/"), F.pmod("user_id", F.lit(7)), F.lit("?q="), F.col("user_id")).alias("uri"),
+        "alert_key", F.concat(lead, F.lit("u/"), F.pmod("user_id", F.lit(7)), F.lit("?q="), F.col("user_id")).alias("uri"),
         F.col("ts").alias("sent_at"),
     )
+    home = F.when(F.col("seq") % 5 == 0, "http://shop.example").otherwise("")
+    timed = F.col("seq") % 10 != 3
     entries = a.select(
-        F.concat(F.lit("/app/u/"), F.pmod("user_id", F.lit(20)), F.lit("/x?k=/u/"), F.pmod("user_id", F.lit(3))).alias("entry_uri"),
-        (F.col("ts") + F.make_dt_interval(secs=F.pmod("seq", F.lit(9)) - 4.5)).alias("entry_ts"),
+        F.concat(home, F.lit("/app/u/"), F.pmod("user_id", F.lit(20)), F.lit("/x?k=/u/"), F.pmod("user_id", F.lit(3))).alias("entry_uri"),
+        F.when(timed, F.col("ts") + F.make_dt_interval(secs=F.pmod("seq", F.lit(9)) - 4.5)).alias("entry_ts"),
         F.col("seq").alias("entry_seq"),
     )
-    matched = joins.match_replay(sent, entries.where(F.col("entry_seq") % 2 == 0), "entry_seq", ["entry_seq", "entry_uri"])
+    matched = joins.match_replay(sent, entries, "entry_seq", ["entry_seq", "entry_uri"])
     return matched.select("alert_key", "uri", "entry_seq", "entry_uri", F.col("entry_seq").isNotNull().alias("matched"))
 
 
-REPLAY_MATCH = f"""WITH {t.ALERTS_SQL}, s AS (SELECT alert_key, '/u/' || (user_id % 7) AS path,
-  '/u/' || (user_id % 7) || '?q=' || user_id AS uri, ts AS sent_at FROM alerts),
-e AS (SELECT '/app/u/' || (user_id % 20) || '/x?k=/u/' || (user_id % 3) AS entry_uri,
-  ts + to_milliseconds(CAST((seq % 9) * 1000 - 4500 AS BIGINT)) AS entry_ts, seq AS entry_seq FROM alerts WHERE seq % 2 = 0),
-m AS (SELECT alert_key, arg_min(entry_seq, (entry_ts, entry_seq)) AS entry_seq, arg_min(entry_uri, (entry_ts, entry_seq)) AS entry_uri
+REPLAY_MATCH = f"""WITH {t.ALERTS_SQL}, s AS (SELECT alert_key, CASE WHEN seq % 11 = 0 THEN '' ELSE '/' END || 'u/' || (user_id % 7) AS path,
+  path || '?q=' || user_id AS uri, ts AS sent_at FROM alerts),
+e0 AS (SELECT CASE WHEN seq % 5 = 0 THEN 'http://shop.example' ELSE '' END || '/app/u/' || (user_id % 20) || '/x?k=/u/' || (user_id % 3) AS entry_uri,
+  CASE WHEN seq % 10 <> 3 THEN ts + to_milliseconds(CAST((seq % 9) * 1000 - 4500 AS BIGINT)) END AS own_ts, seq AS entry_seq FROM alerts),
+e AS (SELECT *, coalesce(last_value(own_ts IGNORE NULLS) OVER (ORDER BY entry_seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  min(own_ts) OVER ()) AS entry_ts FROM e0),
+m AS (SELECT alert_key, arg_min(entry_uri, e.entry_seq) AS entry_uri, min(e.entry_seq) AS entry_seq
   FROM s JOIN e ON entry_ts BETWEEN sent_at - INTERVAL 5 SECOND AND sent_at + INTERVAL 5 SECOND AND contains(entry_uri, path) GROUP BY 1)
 SELECT alert_key, uri, entry_seq, entry_uri, entry_seq IS NOT NULL AS matched FROM s LEFT JOIN m USING (alert_key)"""
 
+
 def replay_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the replayed requests that an audit entry was found for, as a labelled data set keeps them."""
     return joins.matched_only(replay_match(spark, sf_dir), "entry_seq").drop("matched")
