@@ -215,6 +215,16 @@ def rule_value(details: Column, rule_id: Column, name: str) -> Column:
     return F.when(F.size(hits) > 0, F.element_at(hits, -1)[name])
 
 
+def name_sets(training: DataFrame, serving: DataFrame, name: str) -> DataFrame:
+    """Distinct names of two tables and where they stand: ``training``, ``serving`` or ``both``; nulls are no names.
+
+    One sum over both tables, formed before the shuffle, so a name that fills a table is one row of each task.
+    """
+    both = training.select(name, F.lit(1).alias("_t"), F.lit(0).alias("_s")).unionByName(serving.select(name, F.lit(0).alias("_t"), F.lit(1).alias("_s")))
+    seen = both.where(F.col(name).isNotNull()).groupBy(name).agg(F.max("_t").alias("_t"), F.max("_s").alias("_s"))
+    return seen.select(name, F.when(F.col("_s") == 0, "training").when(F.col("_t") == 0, "serving").otherwise("both").alias("side"))
+
+
 def contract_differences(training: DataFrame, serving: DataFrame) -> DataFrame:
     """One row per difference between two feature contracts: feature, kind, message."""
     names = ["type", "grp", "range_min", "range_max", "version"]

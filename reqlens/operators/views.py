@@ -340,7 +340,8 @@ def disabled_rule_lines(rules: DataFrame) -> DataFrame:
 
 
 def version_number(version: Column) -> Column:
-    return F.when(version.rlike("^v[0-9]+$"), F.substring(version, 2, 18).cast("bigint"))
+    """The number of a version ``v`` and digits; null for other names and for numbers past 64 bits."""
+    return F.when(version.rlike("^v[0-9]+$"), F.substr(version, F.lit(2)).try_cast("bigint"))
 
 
 def next_version(registry: DataFrame) -> DataFrame:

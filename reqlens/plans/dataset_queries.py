@@ -199,8 +199,7 @@ def contract_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = t.requests(spark, sf_dir)
     train = _observed(r.where(F.col("request_id").startswith("d")), ["method_int", "uri_length", "has_body", "body_length"], CONTRACT_VERSION)
     serve = _observed(r.where(F.col("request_id").startswith("e")), ["method_int", "uri_length", "has_body", "uri_depth"], "1.0.1")
-    found = joins.contract_differences(train, serve)
-    return found.select("feature", "kind", F.length("message").cast("bigint").alias("message_length"))
+    return joins.contract_differences(train, serve).select("feature", "kind", "message")
 
 
 CONTRACT_DIFFERENCES = f"""WITH {t.REQUESTS_SQL}, q AS (SELECT substr(request_id, 1, 1) AS o,
@@ -210,29 +209,22 @@ CONTRACT_DIFFERENCES = f"""WITH {t.REQUESTS_SQL}, q AS (SELECT substr(request_id
 c AS (SELECT o, min(m) AS m0, max(m) AS m1, min(u) AS u0, max(u) AS u1, min(b) AS b0, max(b) AS b1 FROM q GROUP BY o),
 l AS (SELECT o, unnest([{{'f': 'method_int', 'a': m0, 'z': m1}}, {{'f': 'uri_length', 'a': u0, 'z': u1}}, {{'f': 'has_body', 'a': b0, 'z': b1}}]) AS s FROM c),
 p AS (SELECT d.s.f AS f, d.s.a AS a1, d.s.z AS z1, e.s.a AS a2, e.s.z AS z2 FROM l d JOIN l e ON d.s.f = e.s.f AND d.o = 'd' AND e.o = 'e')
-SELECT f AS feature, 'range' AS kind, length('Feature ''' || f || ''' range mismatch: training=[' || a1 || ', ' || z1 || '], serving=[' ||
-  a2 || ', ' || z2 || '].') AS message_length FROM p WHERE a1 <> a2 OR z1 <> z2
-UNION ALL SELECT f, 'version', length('Feature ''' || f || ''' version mismatch: training=1.0.0, serving=1.0.1.') FROM p
-UNION ALL SELECT 'body_length', 'missing_in_serving', length('Feature ''body_length'' present in training schema but missing from serving schema.')
-UNION ALL SELECT 'uri_depth', 'missing_in_training', length('Feature ''uri_depth'' present in serving schema but missing from training schema.')"""
+SELECT f AS feature, 'range' AS kind, 'Feature ''' || f || ''' range mismatch: training=[' || a1 || ', ' || z1 || '], serving=[' ||
+  a2 || ', ' || z2 || '].' AS message FROM p WHERE a1 <> a2 OR z1 <> z2
+UNION ALL SELECT f, 'version', 'Feature ''' || f || ''' version mismatch: training=1.0.0, serving=1.0.1.' FROM p
+UNION ALL SELECT 'body_length', 'missing_in_serving', 'Feature ''body_length'' present in training schema but missing from serving schema.'
+UNION ALL SELECT 'uri_depth', 'missing_in_training', 'Feature ''uri_depth'' present in serving schema but missing from training schema.'"""
 
 
 def feature_name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules seen only on firewall alerts, only on others, and on both."""
-    a = t.alerts(spark, sf_dir)
-    rule = F.explode("triggered_rules").alias("rule_id")
-    here = a.where(F.col("event_type") == "error").where(F.col("anomaly_score") > 12).select(rule)
-    there = a.where(F.col("event_type") == "view").where(F.col("anomaly_score") > 12).select(rule)
-    return (
-        here.subtract(there).withColumn("side", F.lit("training"))
-        .unionByName(there.subtract(here).withColumn("side", F.lit("serving")))
-        .unionByName(here.intersect(there).withColumn("side", F.lit("both")))
-    )
+    a = t.alerts(spark, sf_dir).select("event_type", F.explode("triggered_rules").alias("rule_id"))
+    return joins.name_sets(a.where(F.col("event_type") == "error"), a.where(F.col("event_type") == "view"), "rule_id")
 
 
 FEATURE_NAME_SETS = f"""WITH {t.ALERTS_SQL},
-h AS (SELECT DISTINCT unnest(triggered_rules) AS r FROM alerts WHERE event_type = 'error' AND anomaly_score > 12),
-o AS (SELECT DISTINCT unnest(triggered_rules) AS r FROM alerts WHERE event_type = 'view' AND anomaly_score > 12)
+h AS (SELECT DISTINCT unnest(triggered_rules) AS r FROM alerts WHERE event_type = 'error'),
+o AS (SELECT DISTINCT unnest(triggered_rules) AS r FROM alerts WHERE event_type = 'view')
 SELECT r AS rule_id, 'training' AS side FROM h WHERE r NOT IN (SELECT r FROM o)
 UNION ALL SELECT r, 'serving' FROM o WHERE r NOT IN (SELECT r FROM h)
 UNION ALL SELECT r, 'both' FROM h WHERE r IN (SELECT r FROM o)"""
