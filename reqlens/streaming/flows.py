@@ -23,13 +23,6 @@ def unscored(df: DataFrame) -> DataFrame:
     return df.withColumn("ai_status", F.lit("unavailable"))
 
 
-def audit_alerts(lines: DataFrame) -> DataFrame:
-    """Audit lines to alerts with a positive score, keyed, from the firewall."""
-    parsed = parse.parse_audit(lines)
-    usable = F.col("_bad").isNull() & F.col("ts").isNotNull() & views.is_scored()
-    return where_once(parsed, usable).withColumns({"source": F.lit("coraza"), "coraza_flagged": F.lit(True)})
-
-
 def quarantined(lines: DataFrame) -> DataFrame:
     """Audit lines that do not parse."""
     return where_once(parse.parse_audit(lines), F.col("_bad").isNotNull()).select("_bad")
