@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from reqlens.functions import curate, features, identity, parse, url, vectors
 from reqlens.functions import timestamps as tm
-from reqlens.operators import joins, rules, training
+from reqlens.operators import joins, rules, signature_scan, training
 from reqlens.plans import tables as t
 from reqlens.session import where_once
+from reqlens.sources.signatures import signatures_of
 
 
 def _r6(df: DataFrame, keys: list[str], columns: dict) -> DataFrame:
@@ -278,6 +279,43 @@ SELECT request_id, array_to_string(list_filter([{', '.join(_signature_sql(r) for
   lambda h: h IS NOT NULL), ',') AS matched_signatures FROM texts"""
 
 
+def signature_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog with a signature for every known page path and for two forms in which a known user is addressed."""
+    users = t.table(spark, sf_dir, "events").where("user_id is not null").select(F.col("user_id").alias("n")).distinct()
+    own = users.select(
+        F.lit(0).alias("kind"), "n", F.concat(F.lit("user-"), "n").alias("id"),
+        F.array(F.concat(F.lit("/u/"), "n", F.lit(r"\?k=\d+&")), F.concat(F.lit("(?i)/REST/"), "n", F.lit(r";S=\d"))).alias("patterns"))
+    path = F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", "")
+    pages = t.table(spark, sf_dir, "pages").select(
+        F.lit(1).alias("kind"), F.col("page_id").alias("n"), F.concat(F.lit("page-"), "page_id").alias("id"),
+        F.array(F.concat(F.lit("(?i)"), F.regexp_replace(path, r"([^A-Za-z0-9/_])", r"\\$1"))).alias("patterns"))
+    none = F.lit("").alias
+    return own.unionByName(pages).orderBy("kind", "n").select(
+        "id", none("name"), none("category"), none("severity"), "patterns", none("description"))
+
+
+def signature_scan_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of a catalog that grows with pages and users, found in the text of every request by one automaton."""
+    catalog = signatures_of(signature_catalog(spark, sf_dir))
+    r = signature_scan.scan_signatures(t.requests(spark, sf_dir), catalog)
+    return r.select("request_id", F.array_join("matched_signatures", ",").alias("matched_signatures"))
+
+
+SIGNATURE_SCAN_MANY = f"""WITH {t.REQUESTS_SQL},
+texts AS (SELECT request_id, method || ' ' || uri || ' ' || body || coalesce(' ' || media, '') || coalesce(' ' || host, '')
+  AS txt FROM requests),
+named AS (
+  SELECT request_id, CAST(unnest(regexp_extract_all(txt, '/u/([0-9]+)\?k=[0-9]+&', 1)) AS BIGINT) AS n FROM texts
+  UNION SELECT request_id, CAST(unnest(regexp_extract_all(txt, '(?i)/rest/([0-9]+);s=[0-9]', 1)) AS BIGINT) FROM texts),
+hits AS (
+  SELECT DISTINCT request_id, 0 AS kind, n, 'user-' || n AS id FROM named WHERE n IN (SELECT user_id FROM events)
+  UNION ALL
+  SELECT request_id, 1, page_id, 'page-' || page_id FROM texts
+  JOIN (SELECT page_id, lower({t._TARGET}) AS path FROM pages) ON contains(lower(txt), path))
+SELECT request_id, coalesce(string_agg(id, ',' ORDER BY kind, n), '') AS matched_signatures
+FROM texts LEFT JOIN hits USING (request_id) GROUP BY request_id"""
+
+
 # ---- parsing -----------------------------------------------------------------
 
 
@@ -684,6 +722,7 @@ QUERIES = {
     "rule_vectors": (rule_vectors, RULE_VECTORS),
     "rule_scan": (rule_scan, RULE_SCAN),
     "signature_prefilter": (signature_prefilter, SIGNATURE_PREFILTER),
+    "signature_scan_many": (signature_scan_many, SIGNATURE_SCAN_MANY),
     "query_parameters": (query_parameters, QUERY_PARAMETERS),
     "request_fingerprints": (request_fingerprints, REQUEST_FINGERPRINTS),
     "alert_identities": (alert_identities, ALERT_IDENTITIES),

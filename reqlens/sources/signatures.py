@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reqlens.operators.rules import Signature
 from reqlens.schemas import SIGNATURE
 
-MAX_PATTERNS = 100_000
-
 
 def _compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether Java's regular expressions, which will run it, accept the pattern."""
@@ -30,17 +28,14 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SIGNATURE).option("multiLine", True).json(path)
 
 
+def signatures_of(catalog: DataFrame) -> Iterator[Signature]:
+    """Signatures of a catalog table in its order, a partition at a time; patterns that do not compile are dropped."""
+    spark = catalog.sparkSession
+    for row in catalog.toLocalIterator():
+        usable = tuple(p for p in row.patterns or [] if p is not None and _compiles(spark, p))
+        yield Signature(row.id, usable, row["name"], row.category, row.severity, row.description)
+
+
 def load_signatures(spark: SparkSession, path: str) -> list[Signature]:
-    """Signatures in catalog order; patterns that do not compile are dropped.
-
-    The catalog is configuration; its size is checked before it is fetched.
-    """
-    catalog = read_signatures(spark, path)
-    patterns = catalog.agg(F.coalesce(F.sum(F.size("patterns")), F.lit(0)).alias("n")).first().n
-    if patterns > MAX_PATTERNS:
-        raise ValueError(f"signature catalog holds {patterns} patterns, more than {MAX_PATTERNS}")
-    out = []
-    for row in catalog.collect():
-        usable = tuple(p for p in row.patterns or [] if _compiles(spark, p))
-        out.append(Signature(row.id, usable, row["name"], row.category, row.severity, row.description))
-    return out
+    """Signatures of a file in catalog order; patterns that do not compile are dropped."""
+    return list(signatures_of(read_signatures(spark, path)))
