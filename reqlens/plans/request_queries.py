@@ -305,7 +305,7 @@ SIGNATURE_SCAN_MANY = f"""WITH {t.REQUESTS_SQL},
 texts AS (SELECT request_id, method || ' ' || uri || ' ' || body || coalesce(' ' || media, '') || coalesce(' ' || host, '')
   AS txt FROM requests),
 named AS (
-  SELECT request_id, CAST(unnest(regexp_extract_all(txt, '/u/([0-9]+)\?k=[0-9]+&', 1)) AS BIGINT) AS n FROM texts
+  SELECT request_id, CAST(unnest(regexp_extract_all(txt, '/u/([0-9]+)\\?k=[0-9]+&', 1)) AS BIGINT) AS n FROM texts
   UNION SELECT request_id, CAST(unnest(regexp_extract_all(txt, '(?i)/rest/([0-9]+);s=[0-9]', 1)) AS BIGINT) FROM texts),
 hits AS (
   SELECT DISTINCT request_id, 0 AS kind, n, 'user-' || n AS id FROM named WHERE n IN (SELECT user_id FROM events)
