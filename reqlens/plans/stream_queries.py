@@ -12,7 +12,7 @@ from reqlens.plans.access_queries import TS, TS_SQL
 from reqlens.plans.request_queries import ACCESS_EVENTS, _signature_sql, access_lines, audit_lines
 from reqlens.session import scratch_path
 from reqlens.sources.store import KeyedStore
-from reqlens.streaming import alerts, flows, state
+from reqlens.streaming import alerts, flows, limiter, state
 
 ALERT_FIELDS = (
     "alert_key string, seq bigint, timestamp_raw string, uri string, method string, anomaly_score double, source string, "
@@ -230,7 +230,7 @@ def _logins(events: DataFrame) -> DataFrame:
 
 def login_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Login attempts with the limiter's verdict, batch form."""
-    return state.login_bursts(_logins(t.table(spark, sf_dir, "events")))
+    return limiter.login_bursts(_logins(t.table(spark, sf_dir, "events")))
 
 
 def login_burst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +239,26 @@ def login_burst_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.stream_to_table(state.login_bursts_stream(_logins(t.event_stream(spark, sf_dir))), "logins")
 
 
+LOGIN_BURSTS = f"""WITH RECURSIVE attempts AS (
+  SELECT '10.0.0.' || (user_id % 9) || CASE WHEN user_id % 2 = 0 THEN ':u' || (user_id % 3) || '@x' ELSE '' END AS key,
+    epoch_us(ts::TIMESTAMP) // 1000 AS us, event_id AS seq, CASE WHEN event_type = 'purchase' THEN 200 ELSE 401 END AS status FROM events),
+a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS rn FROM attempts),
+s AS (
+  SELECT DISTINCT key, 0::BIGINT AS rn, 0::BIGINT AS us, 0::BIGINT AS seq, 0 AS status, FALSE AS blocked, 0 AS failures,
+    NULL::BIGINT AS opened, -1::BIGINT AS until FROM a
+  UNION ALL
+  SELECT key, rn, us, seq, status, refused,
+    CASE WHEN refused THEN failures WHEN status = 401 THEN counted + 1 WHEN status = 200 THEN 0 ELSE counted END,
+    CASE WHEN refused THEN opened WHEN status = 200 OR fresh THEN us ELSE opened END,
+    CASE WHEN NOT refused AND status = 401 AND counted + 1 >= {state.MAX_FAILURES} THEN us + {state.BLOCK_US} ELSE until END
+  FROM (
+    SELECT a.key, a.rn, a.us, a.seq, a.status, s.failures, s.opened, s.until, a.us < s.until AS refused,
+      coalesce(a.us - s.opened >= {state.WINDOW_US}, TRUE) AS fresh,
+      CASE WHEN coalesce(a.us - s.opened >= {state.WINDOW_US}, TRUE) THEN 0 ELSE s.failures END AS counted
+    FROM s JOIN a ON a.key = s.key AND a.rn = s.rn + 1))
+SELECT key, us, seq, status, blocked, failures FROM s WHERE rn > 0"""
+
+
 def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines that do not parse."""
     bad = flows.quarantined(audit_lines(t.table(spark, sf_dir, "events")))
@@ -267,8 +287,8 @@ QUERIES = {
     "service_states": (service_states, SERVICE_STATES),
     "service_stream": (service_stream, SERVICE_STATES),
     "body_cache_stream": (body_cache_stream, BODY_CACHE_STREAM),
-    "login_bursts": (login_bursts, None),
-    "login_burst_stream": (login_burst_stream, None),
+    "login_bursts": (login_bursts, LOGIN_BURSTS),
+    "login_burst_stream": (login_burst_stream, LOGIN_BURSTS),
     "quarantined_lines": (quarantined_lines, QUARANTINED_LINES),
     "access_bodies": (access_bodies, ACCESS_BODIES),
 }

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 BODY_TTL_MS = 300_000
@@ -138,39 +137,6 @@ def login_bursts_stream(attempts: DataFrame, limit: int = MAX_FAILURES) -> DataF
     )
 
 
-def login_bursts(attempts: DataFrame, limit: int = MAX_FAILURES) -> DataFrame:
-    """Batch form over the same columns.
-
-    A minute without an attempt resets a key completely, so a key is cut at empty minutes and its pieces run
-    in parallel. Rows stream through sorted partitions with constant state; no group is held in memory.
-    """
-    minute = F.floor(F.col("us") / WINDOW_US)
-    keyed = attempts.withColumn("_m", minute)
-    runs = keyed.select("key", "_m").distinct()
-    w = W.partitionBy("key").orderBy("_m")
-    starts = F.coalesce((F.col("_m") - F.lag("_m").over(w)) > 1, F.lit(True)).cast("int")
-    runs = runs.withColumn("_s", starts).withColumn("_run", F.sum("_s").over(w)).drop("_s")
-    ordered = (
-        keyed.join(runs, ["key", "_m"])
-        .repartition("key", "_run")
-        .sortWithinPartitions("key", "_run", "us", "seq")
-        .select("key", F.col("_run").alias("run"), "us", "seq", "status")
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, Limiter()
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.key, row.run) != at:
-                    at, state = (row.key, row.run), Limiter()
-                refused = state.step(int(row.us), int(row.status), limit)
-                out.append((row.key, row.us, row.seq, row.status, refused, state.count))
-            yield pd.DataFrame(out, columns=["key", "us", "seq", "status", "blocked", "failures"])
-
-    return ordered.mapInPandas(run, LOGIN_RESULT)
-
-
 # ---- service states -----------------------------------------------------------
 
 

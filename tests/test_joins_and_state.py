@@ -12,7 +12,7 @@ from reqlens.operators import joins
 from reqlens.sources import files
 from reqlens.sources.signatures import load_signatures
 from reqlens.sources.store import KeyedStore
-from reqlens.streaming import state
+from reqlens.streaming import limiter, state
 
 T0 = datetime(2024, 1, 1)
 
@@ -56,9 +56,9 @@ def blocked(df):
 
 
 def test_third_attempt_blocked_and_success_resets(spark):
-    assert blocked(state.login_bursts(attempts(spark, [("a", 0, 401), ("a", 1, 401), ("a", 2, 401)]), 2)) == [False, False, True]
+    assert blocked(limiter.login_bursts(attempts(spark, [("a", 0, 401), ("a", 1, 401), ("a", 2, 401)]), 2)) == [False, False, True]
     rows = [("a", 0, 401), ("a", 1, 200), ("a", 2, 401), ("a", 3, 401)]
-    assert blocked(state.login_bursts(attempts(spark, rows), 2)) == [False] * 4
+    assert blocked(limiter.login_bursts(attempts(spark, rows), 2)) == [False] * 4
 
 
 def test_limiter_pieces_equal_one_run(spark):
@@ -70,7 +70,7 @@ def test_limiter_pieces_equal_one_run(spark):
     whole, expected = state.Limiter(), []
     for _, s, status in rows:
         expected.append(whole.step(s * 1_000_000, status, 3))
-    assert blocked(state.login_bursts(attempts(spark, rows), 3)) == expected
+    assert blocked(limiter.login_bursts(attempts(spark, rows), 3)) == expected
 
 
 def test_audit_line_cases(spark):
