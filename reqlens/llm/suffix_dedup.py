@@ -256,10 +256,12 @@ FLAGS, COPIES, VERDICTS = 0, 1, 2
 
 def repeated_bytes(
     df: DataFrame, doc: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, removed, kept): of each row the removed byte runs (starts and ends in turn) and what is left.
 
-    The string columns named in ``carry`` follow.
+    The string columns named in ``carry`` follow. ``part_bytes`` of text are one task's part: smaller ones take less memory
+    and send more letters.
     """
     carry = carry or []
     rows = renamed(df, {doc: "_doc", text: "_text", **{c: f"_carry_{c}" for c in carry}}).select(
@@ -267,7 +269,7 @@ def repeated_bytes(
         F.coalesce("_text", F.lit("")).cast("binary").alias("_raw")).withColumn("_hash", F.xxhash64("_raw"))
     sized = cut_lineage(rows.select("_id", "_hash", F.octet_length("_raw").alias("_n"), F.sha2("_raw", 256).alias("_digest")), "digests")
     total = sized.agg(F.sum("_n")).first()[0] or 0
-    n_parts = max(4, -(-total // PART_BYTES))
+    n_parts = max(4, -(-total // part_bytes))
     n_bins = n_parts
     least = sized.groupBy("_digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     copies = sized.join(least, "_digest").where("_id <> _first").select("_id", "_hash").distinct()
