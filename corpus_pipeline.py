@@ -16,6 +16,8 @@ ORACLE_SQL = None
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Tokens of the mixture in percent of the tokens that reach it.
 PERCENT = 100
+#: Bytes of text that one task cuts at once; after the stages before it an executor's heap has grown to its bound.
+PART_BYTES = 3 << 20
 
 
 def _judged(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     All rows stay, a text that is all repeated as an empty one; null texts come out empty. Extra columns go.
     """
-    cut = suffix_dedup.repeated_bytes(docs, carry=["lang", "source"])
+    cut = suffix_dedup.repeated_bytes(docs, carry=["lang", "source"], part_bytes=PART_BYTES)
     text = suffix_dedup.whole_characters("kept").alias("text")
     return cut.select("doc_id", text, "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
 
