@@ -12,7 +12,7 @@ reads, the pattern counts as one without a literal, so the result is always that
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 from re import _constants as code
 from re import _parser as parser
@@ -32,10 +32,15 @@ CANDIDATES = "array<struct<pos:int,id:string,pattern:string>>"
 UNSURE = re.compile(r"\(\?[a-zA-Z]*[uUx]|\\[0-9]{2}|\\0|\\[QE]|\\b\{|\[[^\]]*\[|\[\^?\]|&&")
 
 
-def _better(left: tuple[str, ...] | None, right: tuple[str, ...] | None) -> tuple[str, ...] | None:
-    """Of two lists of alternatives the one whose shortest is longer, then the shorter list."""
+def rarity(text: str) -> int:
+    """Length of a text where a character other than a letter or digit, rare in prose, counts as four."""
+    return sum(1 if c.isalnum() else 4 for c in text)
+
+
+def _better(left: tuple[str, ...] | None, right: tuple[str, ...] | None, weigh: Callable[[str], int]) -> tuple[str, ...] | None:
+    """Of two lists of alternatives the one whose lightest weighs more, then the shorter list."""
     def worth(texts):
-        return (min(map(len, texts)), -len(texts)) if texts else (0, 0)
+        return (min(map(weigh, texts)), -len(texts)) if texts else (0, 0)
 
     return left if worth(left) >= worth(right) else right
 
@@ -45,28 +50,30 @@ def _plain(number: int) -> bool:
     return 32 <= number < 127
 
 
-def _needed(parts) -> tuple[str, ...] | None:
+def _needed(parts, weigh: Callable[[str], int]) -> tuple[str, ...] | None:
     """Texts of which any match of a sequence holds one, or nothing."""
     best, run = None, ""
     for kind, value in [*parts, (None, None)]:
         if kind is code.LITERAL and _plain(value):
             run += chr(value).lower()
             continue
-        best, run = _better(best, (run,) if run else None), ""
-        if kind is code.SUBPATTERN:
-            best = _better(best, _needed(value[3]))
+        best, run = _better(best, (run,) if run else None, weigh), ""
+        if kind is code.IN and all(item is code.LITERAL and _plain(number) for item, number in value):
+            best = _better(best, tuple(sorted({chr(number).lower() for _, number in value})), weigh)
+        elif kind is code.SUBPATTERN:
+            best = _better(best, _needed(value[3], weigh), weigh)
         elif kind is code.ATOMIC_GROUP:
-            best = _better(best, _needed(value))
+            best = _better(best, _needed(value, weigh), weigh)
         elif kind in (code.MAX_REPEAT, code.MIN_REPEAT, code.POSSESSIVE_REPEAT) and value[0] > 0:
-            best = _better(best, _needed(value[2]))
+            best = _better(best, _needed(value[2], weigh), weigh)
         elif kind is code.BRANCH:
-            sides = [_needed(side) for side in value[1]]
+            sides = [_needed(side, weigh) for side in value[1]]
             if all(sides):
-                best = _better(best, tuple(sorted({text for side in sides for text in side})))
+                best = _better(best, tuple(sorted({text for side in sides for text in side})), weigh)
     return best
 
 
-def needed_texts(pattern: str, literal: bool = False) -> tuple[str, ...] | None:
+def needed_texts(pattern: str, literal: bool = False, least: int = LEAST, weigh: Callable[[str], int] = len) -> tuple[str, ...] | None:
     """Lower-case texts of which every matching text, in lower case, holds at least one; nothing where none is sure."""
     if literal:
         runs = re.findall(r"[ -~]+", pattern)
@@ -75,10 +82,16 @@ def needed_texts(pattern: str, literal: bool = False) -> tuple[str, ...] | None:
         texts = None
     else:
         try:
-            texts = _needed(parser.parse(pattern))
+            texts = _needed(parser.parse(pattern), weigh)
         except (re.error, OverflowError, RecursionError):
             texts = None
-    return texts if texts and min(map(len, texts)) >= LEAST else None
+    return texts if texts and min(map(len, texts)) >= least else None
+
+
+def guard_of(patterns: Iterable[str]) -> tuple[str, ...]:
+    """Lower-case texts of which every text that one of the patterns matches holds one; empty where none is sure."""
+    needed = [needed_texts(p, least=1, weigh=rarity) for p in patterns]
+    return tuple(sorted({text for texts in needed for text in texts})) if needed and all(needed) else ()
 
 
 def _quoted(pattern: str) -> str:

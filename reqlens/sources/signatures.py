@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from reqlens.operators.rules import Signature
+from reqlens.operators.signature_scan import guard_of
 from reqlens.schemas import SIGNATURE
 
 
@@ -29,11 +30,15 @@ def read_signatures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def signatures_of(catalog: DataFrame) -> Iterator[Signature]:
-    """Signatures of a catalog table in its order, a partition at a time; patterns that do not compile are dropped."""
+    """Signatures of a catalog table in its order, a partition at a time; patterns that do not compile are dropped.
+
+    The texts that their matches need are found here, so ``rules.prefilter`` runs patterns only where one is present.
+    """
     spark = catalog.sparkSession
     for row in catalog.toLocalIterator():
         usable = tuple(p for p in row.patterns or [] if p is not None and _compiles(spark, p))
-        yield Signature(row.id, usable, row["name"], row.category, row.severity, row.description)
+        yield Signature(
+            row.id, usable, row["name"], row.category, row.severity, row.description, word_guard=guard_of(usable))
 
 
 def load_signatures(spark: SparkSession, path: str) -> list[Signature]:

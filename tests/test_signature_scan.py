@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from reqlens.operators import rules
 from reqlens.operators.rules import Signature
-from reqlens.operators.signature_scan import needed_texts, scan_signatures
+from reqlens.operators.signature_scan import guard_of, needed_texts, scan_signatures
+from reqlens.sources.signatures import signatures_of
 
 REQUEST = "request_id int, method string, uri string, body string, headers map<string,string>"
 
@@ -91,3 +92,32 @@ def test_twenty_thousand_signatures(spark):
 def test_scan_uses_the_text_once(spark):
     found = scan_signatures(requests(spark, TEXTS), rules.default_signatures()).select(F.size("matched_signatures"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_loaded_signatures_run_only_where_a_needed_text_is(spark):
+    rows = [(r.id, [re.escape(r.pattern) if r.literal else r.pattern]) for r in rules.RULES]
+    rows += [("two", ["[;|]\\s*ls", "(?i)K=\\d"]), ("any", ["[a-c]+", "xyz"])]
+    catalog = spark.createDataFrame(rows, "id string, patterns array<string>").selectExpr(
+        "id", "'' as name", "'' as category", "'' as severity", "patterns", "'' as description")
+    loaded = list(signatures_of(catalog.coalesce(1)))
+    guards = {s.id: s.word_guard for s in loaded}
+    assert guards["two"] == (";", "k=", "|") and guards["any"] == () and guards["990023"] == guards["990031"] == ("=",)
+    df = requests(spark, [*TEXTS, "a;  ls", "\u212a=1 K=2", "k=", "| LS"])
+    expected = matches(rules.prefilter(df, [Signature(i, tuple(p)) for i, p in rows]))
+    assert sum(map(len, expected.values())) > 20
+    assert matches(rules.prefilter(df, loaded)) == expected
+    assert guard_of([]) == ()
+
+
+def test_signature_file_scans_each_text_once(spark, tmp_path):
+    """The scan stands in one projection and in no filter below or above it."""
+    from reqlens.plans.sink_queries import signature_file
+
+    page = spark.createDataFrame([(4, "http://a.b/x?q=union select", "<p>" + "a;ls " * 9)], "page_id long, url string, html string")
+    page.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.sql("select 1L event_id, timestamp_ntz'2024-01-01 00:00:00' ts, 2L user_id, 'view' event_type, 1d value, '{\"k\": 3}' props").write.parquet(str(tmp_path / "events.parquet"))
+    found = signature_file(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if " Filter " in f" {line} " and "RLIKE" in line.upper()]
+    assert found.count() > 0
