@@ -4,11 +4,13 @@ import math
 from collections import Counter
 from urllib.parse import parse_qs, urlsplit
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from reqlens.functions import features, url
+from reqlens.session import spread
 
 TEXT = st.text(alphabet="ab%=&?/#;+ <'\"{\\xu04é😀\n", max_size=60)
 
@@ -76,3 +78,33 @@ def test_uri_depth_edge_cases(spark):
     uris = ["http://h/a//b;x=1?q", "//h/a", "/", "", "//[h/a", "a:b/c"]
     df = spark.createDataFrame([(u,) for u in uris], "u string")
     assert [r[0] for r in df.select(features.uri_depth(F.col("u"))).collect()] == [2.0, 1.0, 0.0, 0.0, 0.0, 2.0]
+
+
+def test_rows_of_one_file_are_dealt_out(spark, tmp_path):
+    """A row group is never divided, so a scan's partitions may all be empty but one."""
+    path = str(tmp_path / "one.parquet")
+    spark.range(0, 40_000, 1, 1).selectExpr("id", "sha2(cast(id as string), 512) as t").write.parquet(path)
+    size, cost = (spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in spread(scan, 1_000).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert sum(sizes) == 40_000 and len(sizes) == 40 and max(sizes) < 1_500
+    assert spread(scan.where("id < 3")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_entropy_counts_any_characters(spark):
+    texts = ["ab" * 200, "a\u0e3fb" * 200, "\u3fff\u4000" * 200, "\U0001f600x" * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.e for r in df.select(features.shannon_entropy(F.col("t")).alias("e")).collect()]
+    assert got == pytest.approx([1.0, math.log2(3), 1.0, 1.0])
+
+
+def test_rule_indicator_takes_numbers_and_nulls(spark):
+    df = spark.createDataFrame([([7, None, 8],), ([8],), (None,)], "ids array<int>")
+    assert [r.x for r in df.select(features.rule_indicator(F.col("ids"), "7").alias("x")).collect()] == [1.0, 0.0, 0.0]
