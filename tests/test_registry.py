@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from reqlens.functions import advice
 from reqlens.operators import registry, training
 from reqlens.operators.registry import LinearScorer, ModelRegistry, ModelScorer
 from reqlens.plans import tables as t
@@ -191,3 +193,39 @@ def test_training_keeps_what_it_was_made_of(spark, models):
 def test_five_times_weight_of_positives(spark):
     df = spark.createDataFrame([(1,), (0,)], "y int")
     assert sorted((r.y, r.weight) for r in training.WEIGHING["boosted_trees_x5"](df).collect()) == [(0, 1.0), (1, 5.0)]
+
+
+def test_rows_of_one_partition_are_dealt_out_to_be_scored(spark):
+    one = t.enriched_requests(spark, SF).limit(40).coalesce(1)
+    assert training.score_requests(scorer(), one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_strongest_parts_by_size_then_name(spark):
+    nan = float("nan")
+    rows = [
+        [("b", "g", 1.0), ("a", "g", -1.0), ("c", "g", 3.0), ("z", "g", 0.0), ("y", "g", -0.0), ("d", "g", 0.5)],
+        [("b", "g", 1.0), ("n", "g", nan), ("i", "g", float("-inf")), ("a", "x", -1.0), ("a", "g", 1.0), ("m", "g", nan)],
+        [("b", "g", 1.0), ("a", "g", None)],
+        [],
+        None,
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<struct<name:string,grp:string,value:double>>")
+    got = {r.i: r.t and [(p.name, p.grp, p.direction) for p in r.t] for r in df.select("i", advice.top_contributions(F.col("c"), 4).alias("t")).collect()}
+    assert got[0] == [("c", "g", "positive"), ("a", "g", "negative"), ("b", "g", "positive"), ("d", "g", "positive")]
+    assert got[1] == [("m", "g", "positive"), ("n", "g", "positive"), ("i", "g", "negative"), ("a", "x", "negative")]
+    assert {p[0] for p in got[2]} == {"a", "b"} and got[3] == [] and got[4] is None
+
+
+def test_a_vector_is_unpacked_once_for_all_its_parts(spark, models):
+    class Stub:
+        class featurizer:  # noqa: N801
+            feature_names = staticmethod(lambda: ["u", "v", "w"])
+
+        class classifier:  # noqa: N801
+            coefficients = DenseVector([1.0, -2.0, 0.5])
+
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "x array<double>").select(training.array_to_vector("x").alias("features"))
+    for parts in (training.linear_contributions(Stub, [0.0, 1.0, 1.0]), training.raw_contributions(Stub)):
+        shown = df.select(parts.alias("p"))
+        assert shown._jdf.queryExecution().optimizedPlan().toString().count("UDF(features") <= 1
+    assert [p.value for p in df.select(training.linear_contributions(Stub, [0.0, 1.0, 1.0]).alias("p")).first().p] == [1.0, -2.0, 1.0]
