@@ -6,6 +6,8 @@ over the scan. Only the entropy of long texts leaves the JVM, in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,21 +58,39 @@ def rule_details(ids: Column, severities: Column, messages: Column) -> Column:
     A list shorter than the ids leaves the tail without a value; for a repeated
     id the last value wins, as in a dictionary built from the zipped lists.
     """
-    ids = F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda r: r.cast("string"))
-
-    def last_value(values: Column, rid: Column) -> Column:
-        values = F.coalesce(values, F.array().cast("array<string>"))
-        n = F.least(F.size(ids), F.size(values))
-        hits = F.filter(F.slice(F.arrays_zip(ids.alias("i"), values.alias("v")), 1, n), lambda z: z["i"] == rid)
-        return F.when(F.size(hits) > 0, F.element_at(hits, -1)["v"])
-
-    return F.transform(
-        ids,
-        lambda rid: F.struct(
-            rid.alias("rule_id"),
-            F.coalesce(last_value(severities, rid), F.lit("")).alias("severity"),
-            F.coalesce(last_value(messages, rid), F.lit("")).alias("message"),
+    none = F.array().cast("array<string>")
+
+    def aligned(lists: Column) -> Column:
+        rules = lists["ids"]
+
+        def last_value(values: Column, rid: Column) -> Column:
+            n = F.least(F.size(rules), F.size(values))
+            hits = F.filter(F.slice(F.arrays_zip(rules.alias("i"), values.alias("v")), 1, n), lambda z: z["i"] == rid)
+            return F.when(F.size(hits) > 0, F.element_at(hits, -1)["v"])
+
+        def details(value: Callable[[str, Column, Column], Column]) -> Column:
+            return F.transform(
+                rules,
+                lambda rid, i: F.struct(
+                    rid.alias("rule_id"),
+                    F.coalesce(value("severities", rid, i), F.lit("")).alias("severity"),
+                    F.coalesce(value("messages", rid, i), F.lit("")).alias("message"),
+                ),
+            )
+
+        # Ids that do not repeat, the usual case, stand where their values stand and need no search.
+        single = F.size(F.array_distinct(rules)) == F.size(rules)
+        return F.when(single, details(lambda name, rid, i: F.when(rid.isNotNull(), F.get(lists[name], i)))).otherwise(
+            details(lambda name, rid, _: last_value(lists[name], rid))
+        )
+
+    return let(
+        F.struct(
+            F.transform(F.coalesce(ids, none), lambda r: r.cast("string")).alias("ids"),
+            F.coalesce(severities, none).alias("severities"),
+            F.coalesce(messages, none).alias("messages"),
         ),
+        aligned,
     )
 
 
@@ -131,7 +151,7 @@ def _splittable(uri: Column) -> Column:
 
 def query_param_count(uri: Column) -> Column:
     uri = url.cleaned(uri)
-    keys = F.transform(url.param_pairs(url.query_of(uri)), lambda p: p["k"])
+    keys = F.transform(url.pieces_of(url.query_of(uri)), url.key_of)
     return F.when(_splittable(uri), F.size(F.array_distinct(keys))).otherwise(0).cast("double")
 
 
@@ -235,7 +255,7 @@ def max_param_value_length(uri: Column, body: Column) -> Column:
     """Longest decoded value over the query and the form body."""
 
     def longest(source: Column) -> Column:
-        lengths = F.transform(url.param_pairs(source), lambda p: F.char_length(p["v"]))
+        lengths = F.transform(url.pieces_of(source), lambda p: F.char_length(url.value_of(p)))
         return F.coalesce(F.array_max(lengths), F.lit(0))
 
     uri = url.cleaned(uri)

@@ -50,18 +50,25 @@ def decode_path(text: Column) -> Column:
     return decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def pieces_of(query: Column) -> Column:
+    """The form pairs as they stand, without empty ones."""
+    return F.filter(F.split(query, "&"), lambda p: p != "")
+
+
+def key_of(piece: Column) -> Column:
+    return decode(F.substring_index(piece, "=", 1))
+
+
+def value_of(piece: Column) -> Column:
+    return decode(F.when(piece.contains("="), F.regexp_replace(piece, r"^[^=]*=", "")).otherwise(""))
+
+
 def param_pairs(query: Column, keep_blank: bool = True) -> Column:
     """``ARRAY<STRUCT<k,v>>`` of decoded form pairs, in order of appearance."""
-    pieces = F.filter(F.split(query, "&"), lambda p: p != "")
+    pieces = pieces_of(query)
     if not keep_blank:
         pieces = F.filter(pieces, lambda p: p.rlike(r"(?s)^[^=]*=."))
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            decode(F.substring_index(p, "=", 1)).alias("k"),
-            decode(F.when(p.contains("="), F.regexp_replace(p, r"^[^=]*=", "")).otherwise("")).alias("v"),
-        ),
-    )
+    return F.transform(pieces, lambda p: F.struct(key_of(p).alias("k"), value_of(p).alias("v")))
 
 
 def first_values(pairs: Column) -> Column:

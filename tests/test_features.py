@@ -108,3 +108,27 @@ def test_entropy_counts_any_characters(spark):
 def test_rule_indicator_takes_numbers_and_nulls(spark):
     df = spark.createDataFrame([([7, None, 8],), ([8],), (None,)], "ids array<int>")
     assert [r.x for r in df.select(features.rule_indicator(F.col("ids"), "7").alias("x")).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_rule_details_align_by_id(spark):
+    rows = [
+        (["1", "2"], ["A", "B"], ["m"]), (["1", "1", "2"], ["A", "B"], ["m", "n", "o", "p"]), ([None, "2"], ["A", None], ["m", "n"]),
+        ([None, None], ["A", "B"], None), ([], ["A"], []), (None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r array<string>, s array<string>, m array<string>")
+    got = df.select("i", features.rule_details(F.col("r"), F.col("s"), F.col("m")).alias("d")).collect()
+
+    def plain(ids, values):
+        last = {k: v for k, v in zip(ids or [], values or [], strict=False) if k is not None}
+        return [last.get(k) or "" for k in ids or []]
+
+    for g in got:
+        ids, severities, messages = rows[g.i]
+        assert [(d.rule_id, d.severity, d.message) for d in g.d] == list(zip(ids or [], plain(ids, severities), plain(ids, messages), strict=True))
+
+
+def test_only_the_side_needed_of_a_pair_is_decoded(spark):
+    df = spark.createDataFrame([("/a?x%41=1%42&xA=2&y",)], "uri string")
+    shown = df.select(features.query_param_count(F.col("uri")).alias("n"))
+    assert shown.first().n == 2
+    assert shown._jdf.queryExecution().analyzed().toString().count("url_decode(") <= 1
