@@ -132,3 +132,22 @@ def test_only_the_side_needed_of_a_pair_is_decoded(spark):
     shown = df.select(features.query_param_count(F.col("uri")).alias("n"))
     assert shown.first().n == 2
     assert shown._jdf.queryExecution().analyzed().toString().count("url_decode(") <= 1
+
+
+def test_entropy_of_short_texts_is_the_sum_by_first_appearance(spark):
+    """Short texts are counted together; the value is the sum in order of first appearance, to the last bit."""
+    texts = [None, "", "a", "abca", "\U0001f600x\U0001f600", "q=%27+or+1", "z" * 256, "ab" * 128, "ab" * 129]
+    df = spark.createDataFrame(list(enumerate(texts * 600)), "i int, t string").repartition(2)
+
+    def shares(c):
+        return F.transform(F.array_distinct(F.split("t", "")), lambda x: (F.char_length("t") - F.char_length(F.replace(c, x, F.lit("")))) / F.char_length("t"))
+
+    plain = F.when(F.col("t") == "", 0.0).otherwise(F.aggregate(shares(F.col("t")), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+    got = df.select("t", features.shannon_entropy(F.col("t")).alias("e"), plain.alias("p")).collect()
+    assert len(got) == 5400 and all(r.e == r.p for r in got if r.t != "ab" * 129)
+    assert {r.e for r in got if r.t == "ab" * 129} == {1.0}
+
+
+def test_short_texts_are_counted_together():
+    counts, sizes = features._short_counts(["", "abca", "", "zz", "\U0001f600x\U0001f600"])
+    assert counts.tolist() == [2, 1, 1, 2, 2, 1] and sizes.tolist() == [0, 3, 0, 1, 2]

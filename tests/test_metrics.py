@@ -86,3 +86,13 @@ def test_pages_chain_to_the_whole(spark):
             break
         after = (page[0].next_id,)
     assert seen == list(range(22, -1, -1))
+
+
+def test_poisson_weights_count_the_limits_reached(spark):
+    """Few limits are compared for most words; the weight is the number of all limits that a word reaches."""
+    limits = ev._poisson_limits()
+    words = sorted({0, 2**32 - 1, *limits, *(x - 1 for x in limits)})
+    digests = spark.createDataFrame([(f"{w:08x}" * 4, w) for w in words], "d string, w bigint")
+    rows = digests.select("w", *[ev._poisson_weight(F.col("d"), j).alias(f"w{j}") for j in range(4)]).collect()
+    for r in rows:
+        assert {r.w0, r.w1, r.w2, r.w3} == {sum(r.w >= x for x in limits)}
