@@ -190,6 +190,22 @@ def test_training_keeps_what_it_was_made_of(spark, models):
     assert all(len(r.e) == len(model.featurizer.feature_names()) for r in explained)
 
 
+def test_comparison_trains_every_candidate_in_full(spark, tmp_path, monkeypatch):
+    from reqlens.plans import training_queries
+
+    asked = []
+    monkeypatch.setattr(training_queries, "_splits", lambda *_: None)
+    monkeypatch.setattr(registry, "train_and_register", lambda models, splits, candidates: asked.append(candidates) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        training_queries.model_comparison(spark, str(tmp_path))
+    made = {name: training.CANDIDATES[name](**settings) for name, settings in asked[0].items()}
+    assert set(made) == {"boosted_trees", "boosted_trees_x5", "random_forest", "logistic_regression"}
+    forest = made["random_forest"]
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getSubsamplingRate()) == (200, 30, 1.0)
+    assert made["logistic_regression"].getMaxIter() == 1000
+    assert all((m.getMaxIter(), m.getMaxDepth()) == (200, 6) for n, m in made.items() if n.startswith("boosted"))
+
+
 def test_five_times_weight_of_positives(spark):
     df = spark.createDataFrame([(1,), (0,)], "y int")
     assert sorted((r.y, r.weight) for r in training.WEIGHING["boosted_trees_x5"](df).collect()) == [(0, 1.0), (1, 5.0)]
