@@ -5,6 +5,9 @@ all literals reads each lower-cased text once and names the patterns whose liter
 text, by the JVM's regular expressions, in the row itself: nothing is joined or shuffled. Patterns without such a literal
 are run on every text, as ``rules.prefilter`` runs all of them.
 
+A catalog table is prepared where its rows lie; the driver only puts the prepared patterns in order. Workers get them as
+one broadcast and keep their automaton from task to task.
+
 The literals are found on the tree that Python's ``re`` makes of a pattern. Where that tree could differ from what Java
 reads, the pattern counts as one without a literal, so the result is always that of running every pattern.
 """
@@ -13,19 +16,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
 from re import _constants as code
 from re import _parser as parser
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reqlens.operators.rules import CHUNK, Signature, request_text
+from reqlens.session import spread
 
-#: Patterns of one automaton; a larger catalog is scanned by several, each of bounded size in a worker.
-SLICE = 50_000
+#: Patterns of one automaton. All automata of a scan are in each worker, and each of them reads every text again.
+SLICE = 5_000_000
 LEAST = 2
+#: Catalog rows that one task prepares, and texts that a worker takes out of a batch at once.
+SIGNATURES_A_TASK = 10_000
+TEXTS_AT_ONCE = 256
+PATTERNS = pa.schema([("pos", pa.int32()), ("id", pa.string()), ("pattern", pa.string()), ("texts", pa.list_(pa.string()))])
 CANDIDATES = "array<struct<pos:int,id:string,pattern:string>>"
 #: Forms that the two expression languages read differently: flags u, U and x, octal and two-digit escapes, quoting,
 #: braces after a word edge, nested classes, class operators and classes that start with a bracket.
@@ -98,38 +108,83 @@ def _quoted(pattern: str) -> str:
     return "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def candidates(entries: list[tuple[int, str, str, tuple[str, ...]]], lower: Column) -> Column:
-    """Patterns (pos, id, pattern) whose literal the lower-cased text holds, in the order of the catalog."""
-    by_text: dict[str, list[int]] = {}
-    for at, entry in enumerate(entries):
-        for text in entry[3]:
-            by_text.setdefault(text, []).append(at)
-    columns = [[e[0] for e in entries], [e[1] for e in entries], [e[2] for e in entries]]
+def worker_part(patterns: pa.Table) -> dict:
+    """What a worker needs of patterns (pos, id, pattern, texts): the distinct texts, and by text where its patterns stand."""
+    lists = patterns["texts"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    sizes = np.bincount(numbers, minlength=len(coded.dictionary))
+    return {
+        "patterns": pa.StructArray.from_arrays([patterns[c].combine_chunks() for c in ("pos", "id", "pattern")], names=["pos", "id", "pattern"]),
+        "texts": coded.dictionary, "places": owners[np.argsort(numbers, kind="stable")],
+        "starts": np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64),
+    }
 
-    @F.arrow_udf(CANDIDATES)
-    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+
+def machine_of(part: dict):
+    """The automaton over the texts of a part, made once in a process and kept with the part."""
+    if "machine" not in part:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for text, places in by_text.items():
-            machine.add_word(text, places)
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for number, text in enumerate(part["texts"].to_pylist()):
+            machine.add_word(text, number)
         machine.make_automaton()
-        table = pa.StructArray.from_arrays(
-            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())],
-            names=["pos", "id", "pattern"])
+        part["machine"] = machine
+    return part["machine"]
+
+
+def places_of(part: dict, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the patterns that need the texts ``numbers``, of which each row holds ``sizes``: offsets by row, and places in order."""
+    starts, total = part["starts"], max(1, len(part["patterns"]))
+    counts = starts[numbers + 1] - starts[numbers]
+    shift = np.repeat(starts[numbers] - (np.cumsum(counts) - counts), counts)
+    rows = np.repeat(np.repeat(np.arange(len(sizes)), sizes), counts)
+    keys = np.unique(rows * total + part["places"][np.arange(len(shift)) + shift])
+    return np.concatenate([[0], np.cumsum(np.bincount(keys // total, minlength=len(sizes)))]), keys % total
+
+
+def candidates(df: DataFrame, patterns: pa.Table, lower: Column) -> Column:
+    """Patterns (pos, id, pattern) whose literal the lower-cased text holds, in the order of the catalog."""
+    shared = df.sparkSession.sparkContext.broadcast(worker_part(patterns))
+
+    @F.arrow_udf(CANDIDATES)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        part = shared.value
+        machine = machine_of(part)
         for batch in batches:
-            offsets, taken = [0], []
-            for text in batch:
-                held: set[int] = set()
-                for _, places in machine.iter(text.as_py() or ""):
-                    held.update(places)
-                taken.extend(sorted(held))
-                offsets.append(len(taken))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.take(pa.array(taken, pa.int64())))
+            numbers, sizes = [], []
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                for text in batch.slice(at, TEXTS_AT_ONCE).to_pylist():
+                    held = {number for _, number in machine.iter(text or "")}
+                    numbers.extend(held)
+                    sizes.append(len(held))
+            offsets, taken = places_of(part, np.array(numbers, np.int64), np.array(sizes, np.int64))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), part["patterns"].take(pa.array(taken, pa.int64())))
 
     return found(lower)
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _texts_of(patterns: pa.Array) -> pa.Array:
+    return pa.array([needed_texts(p) for p in patterns.to_pylist()], pa.list_(pa.string()))
+
+
+def catalog_patterns(catalog: DataFrame) -> pa.Table:
+    """Patterns of a catalog table in its order, without those that do not compile, and the texts that they need.
+
+    Rows are numbered in the table's order and prepared by many tasks; Java itself compiles each pattern there.
+    """
+    rows = catalog.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string"), "patterns")
+    each = spread(rows, SIGNATURES_A_TASK).select("row", "id", F.posexplode("patterns").alias("n", "pattern"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col("pattern"))
+    found = each.where(compiled.isNotNull()).withColumn("texts", _texts_of("pattern")).toArrow()
+    found = found.sort_by([("row", "ascending"), ("n", "ascending")])
+    pos = np.unique(found["row"].to_numpy(), return_inverse=True)[1]
+    return pa.table([pa.array(pos, pa.int32()), *[found[c].cast(PATTERNS.field(c).type) for c in ("id", "pattern", "texts")]], schema=PATTERNS)
+
+
 def scan_signatures(df: DataFrame, signatures: Iterable[Signature], slice_size: int = SLICE) -> DataFrame:
     """Add ``matched_signatures``, ids in catalog order, to a request table; equal to ``rules.prefilter``.
 
@@ -137,19 +192,28 @@ def scan_signatures(df: DataFrame, signatures: Iterable[Signature], slice_size:
     A null text matches like an empty one, an empty catalog gives empty lists, an id that stands twice is returned twice
     where both match.
     """
-    filed, always = [], []
-    for pos, signature in enumerate(signatures):
-        for pattern in signature.patterns:
-            texts = needed_texts(pattern, signature.literal)
-            form = _quoted(pattern) if signature.literal else pattern
-            (filed if texts else always).append((pos, signature.id, form, texts))
+    rows = [
+        (pos, signature.id, _quoted(pattern) if signature.literal else pattern, needed_texts(pattern, signature.literal))
+        for pos, signature in enumerate(signatures) for pattern in signature.patterns
+    ]
+    columns = list(zip(*rows, strict=True)) or [()] * len(PATTERNS)
+    return _scan(df, pa.table([pa.array(c, f.type) for c, f in zip(columns, PATTERNS, strict=True)], schema=PATTERNS), slice_size)
+
+
+def scan_catalog(df: DataFrame, catalog: DataFrame, slice_size: int = SLICE) -> DataFrame:
+    """The same for a catalog table; patterns that do not compile are dropped, as ``signatures_of`` does."""
+    return _scan(df, catalog_patterns(catalog), slice_size)
+
+
+def _scan(df: DataFrame, patterns: pa.Table, slice_size: int) -> DataFrame:
+    sure = pc.is_valid(patterns["texts"])
+    filed, always = patterns.filter(sure), patterns.filter(pc.invert(sure)).select(["pos", "id", "pattern"]).to_pylist()
     text = request_text(*[F.col(c) for c in ("method", "uri", "body", "headers")])
     out = df.withColumn("_text", text).withColumn("_lower", F.lower("_text"))
-    rest, slices = iter(filed), []
-    while part := list(islice(rest, slice_size)):
-        name = f"_c{len(slices)}"
-        out = out.withColumn(name, candidates(part, F.col("_lower")))
-        slices.append(name)
+    slices = []
+    for at in range(0, filed.num_rows, slice_size):
+        slices.append(f"_c{len(slices)}")
+        out = out.withColumn(slices[-1], candidates(df, filed.slice(at, slice_size), F.col("_lower")))
 
     def hit(pos: Column, name: Column) -> Column:
         return F.struct(pos.cast("int").alias("pos"), name.alias("id"))
@@ -159,7 +223,7 @@ def scan_signatures(df: DataFrame, signatures: Iterable[Signature], slice_size:
         for name in slices
     ]
     for at in range(0, len(always), CHUNK):
-        tests = [F.when(F.col("_text").rlike(p), hit(F.lit(pos), F.lit(i))) for pos, i, p, _ in always[at : at + CHUNK]]
+        tests = [F.when(F.col("_text").rlike(p["pattern"]), hit(F.lit(p["pos"]), F.lit(p["id"]))) for p in always[at : at + CHUNK]]
         hits.append(F.array_compact(F.array(*tests)))
     if not hits:
         return out.drop("_text", "_lower").withColumn("matched_signatures", F.array().cast("array<string>"))

@@ -10,7 +10,6 @@ from reqlens.functions import timestamps as tm
 from reqlens.operators import joins, rules, signature_scan, training
 from reqlens.plans import tables as t
 from reqlens.session import where_once
-from reqlens.sources.signatures import signatures_of
 
 
 def _r6(df: DataFrame, keys: list[str], columns: dict) -> DataFrame:
@@ -296,8 +295,7 @@ def signature_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signature_scan_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of a catalog that grows with pages and users, found in the text of every request by one automaton."""
-    catalog = signatures_of(signature_catalog(spark, sf_dir))
-    r = signature_scan.scan_signatures(t.requests(spark, sf_dir), catalog)
+    r = signature_scan.scan_catalog(t.requests(spark, sf_dir), signature_catalog(spark, sf_dir))
     return r.select("request_id", F.array_join("matched_signatures", ",").alias("matched_signatures"))
 
 

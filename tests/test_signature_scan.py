@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reqlens.operators import rules
+from reqlens.operators import signature_scan as scan
 from reqlens.operators.rules import Signature
-from reqlens.operators.signature_scan import guard_of, needed_texts, scan_signatures
+from reqlens.operators.signature_scan import guard_of, needed_texts, scan_catalog, scan_signatures
 from reqlens.sources.signatures import signatures_of
 
 REQUEST = "request_id int, method string, uri string, body string, headers map<string,string>"
@@ -121,3 +122,35 @@ def test_signature_file_scans_each_text_once(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if " Filter " in f" {line} " and "RLIKE" in line.upper()]
     assert found.count() > 0
+
+
+def test_a_catalog_table_is_scanned_as_its_signatures_are(spark):
+    rows = [(r.id, [re.escape(r.pattern) if r.literal else r.pattern]) for r in rules.RULES]
+    rows += [("broken", ["(a", "x{2", "[", "*ls", "sleep"]), ("z", ["(?i)SCRIPT", None, "whoami"]), ("a", ["[a-c]+"]), ("z", ["rm|SELECT"]), ("none", []), ("null", None), ("eq", ["=="])]
+    catalog = spark.createDataFrame(rows, "id string, patterns array<string>").selectExpr(
+        "id", "'' as name", "'' as category", "'' as severity", "patterns", "'' as description").coalesce(1)
+    df = requests(spark, TEXTS)
+    expected = matches(rules.prefilter(df, list(signatures_of(catalog))))
+    assert sum(map(len, expected.values())) > 20 and any("z" in ids and "eq" in ids for ids in [sum(expected.values(), [])])
+    assert matches(scan_catalog(df, catalog)) == expected
+    assert matches(scan_catalog(df, catalog, slice_size=3)) == expected
+    assert matches(scan_catalog(df, catalog.limit(0))) == dict.fromkeys(expected, [])
+
+
+def test_a_large_catalog_is_not_walked_by_the_driver(spark, monkeypatch):
+    """Its order is kept, all of its texts are in one automaton, and that is made once."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from reqlens.plans import request_queries
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows taken one by one"))
+    made, candidates = [], scan.candidates
+    monkeypatch.setattr(scan, "candidates", lambda df, patterns, lower: made.append(patterns) or candidates(df, patterns, lower))
+    ids = spark.range(0, 60_000, 1, 12).withColumn("n", 60_000 - F.col("id")).orderBy("n")
+    catalog = ids.select(F.concat(F.lit("s"), "n").alias("id"), F.array(F.concat(F.lit("(?i)Key"), "n", F.lit(r"=\d")), F.concat(F.lit("k"), "n", F.lit("#"))).alias("patterns"))
+    found = scan_catalog(requests(spark, ["key7=1 KEY59999=2 key8=x k10#", "k3 key60001=1"]), catalog)
+    assert len(made) == 1 and made[0].num_rows == 120_000
+    assert matches(found) == {0: ["s7", "s10", "s59999"], 1: []}
+    part = scan.worker_part(scan.catalog_patterns(catalog.limit(3)))
+    assert scan.machine_of(part) is scan.machine_of(part) and len(part["patterns"]) == 6
+    assert request_queries.signature_scan_many(spark, "/root/testdata/sf0.001").columns == ["request_id", "matched_signatures"]
